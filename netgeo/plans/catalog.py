@@ -14,8 +14,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netgeo.operators import clean, lookup
-from netgeo.plans.sqlfrag import lookup_ctes, queries_cte, with_fixture
+from netgeo.functions.ipfn import cidr_length, haversine_km, ip_to_long_or_zero, prefix24
+from netgeo.functions.text import cidr_class, rdns_tokens
+from netgeo.operators import clean, hashed_text, lookup, stats
+from netgeo.plans.sqlfrag import (lookup_ctes, queries_cte, s1_ctes, sql_cidr_length,
+                                  sql_enhanced_text, sql_ipv4, sql_prefix24, sql_rdns_tokens,
+                                  with_fixture)
 from netgeo.sources import fixtures
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -196,6 +200,190 @@ def q_resolve_strict(spark, sf_dir):
     return _resolve_query(spark, sf_dir, "strict")
 
 
+# ----------------------------------------------------------------- step 1b: IP text functions
+
+@register("prefix24", with_fixture(s1_ctes()) + f"""
+SELECT range_id, {sql_prefix24('ip_start')} AS prefix24_token,
+       coalesce({sql_ipv4('ip_start')}, 0) AS ip_numeric_or_zero
+FROM s1""")
+def q_prefix24(spark, sf_dir):
+    """F3 + F2 on the dotted range start, as read (no sentinel cleaning)."""
+    t = hashed_text.read_table(raw_ranges(spark, sf_dir))
+    return t.select("range_id", prefix24("ip_start").alias("prefix24_token"),
+                    ip_to_long_or_zero("ip_start").alias("ip_numeric_or_zero"))
+
+
+@register("cidr_length", with_fixture(s1_ctes()) + f"""
+SELECT range_id, {sql_cidr_length('cidr')} AS cidr_length,
+  CASE WHEN {sql_cidr_length('cidr')} <= 16 THEN 'cidr_large' WHEN {sql_cidr_length('cidr')} <= 20 THEN 'cidr_medium'
+       WHEN {sql_cidr_length('cidr')} <= 24 THEN 'cidr_small' ELSE 'cidr_tiny' END AS cidr_class
+FROM s1""")
+def q_cidr_length(spark, sf_dir):
+    """F4 + F7."""
+    t = hashed_text.read_table(raw_ranges(spark, sf_dir))
+    n = cidr_length("cidr")
+    return t.select("range_id", n.alias("cidr_length"), cidr_class(n).alias("cidr_class"))
+
+
+@register("ip_mid", with_fixture(lookup_ctes(drop_null_bounds=False)) + """
+SELECT range_id, ip_mid, is_rtt_missing, reachable_flag FROM rng_der""")
+def q_ip_mid(spark, sf_dir):
+    """P11 + P6 + P7 over every row."""
+    return clean.clean_ranges(raw_ranges(spark, sf_dir)).select(
+        "range_id", "ip_mid", "is_rtt_missing", "reachable_flag")
+
+
+# ----------------------------------------------------------------- step 4: aggregates, text
+
+@register("asn_counts", with_fixture(s1_ctes()) + """
+SELECT asn_key, asn_count FROM asnc""")
+def q_asn_counts(spark, sf_dir):
+    """A2: rows per ASN (missing counted as '0')."""
+    return stats.asn_counts(hashed_text.read_table(raw_ranges(spark, sf_dir)))
+
+
+@register("prefix24_counts", with_fixture(s1_ctes()) + """
+SELECT prefix24_token, prefix24_count FROM p24c""")
+def q_prefix24_counts(spark, sf_dir):
+    """A1: rows per /24 token."""
+    return stats.prefix24_counts(hashed_text.read_table(raw_ranges(spark, sf_dir)))
+
+
+@register("prefix_stability", with_fixture(s1_ctes()) + """
+SELECT prefix24_token, n_rows, top_label_rows, prefix24_stability FROM stab""")
+def q_prefix_stability(spark, sf_dir):
+    """A3: share of a prefix's rows in its most common city."""
+    return stats.prefix24_stability(hashed_text.read_table(raw_ranges(spark, sf_dir)))
+
+
+@register("rdns_tokens", with_fixture(s1_ctes()) + f"""
+SELECT range_id, {sql_rdns_tokens('rdns_hostname')} AS rdns_cleaned FROM s1""")
+def q_rdns_tokens(spark, sf_dir):
+    """F5 over the raw host names."""
+    t = hashed_text.read_table(raw_ranges(spark, sf_dir))
+    return t.select("range_id", rdns_tokens("rdns_hostname").alias("rdns_cleaned"))
+
+
+@register("enhanced_text", with_fixture(s1_ctes()) + f"""
+SELECT range_id, {sql_enhanced_text()} AS enhanced_text FROM s1f""")
+def q_enhanced_text(spark, sf_dir):
+    """F12 (with A1-A3 attached through J7)."""
+    return hashed_text.text_table(raw_ranges(spark, sf_dir)).select("range_id", "enhanced_text")
+
+
+@register("drop_rare", with_fixture(s1_ctes()) + """
+SELECT range_id, city FROM s1
+WHERE city IN (SELECT city FROM s1 WHERE city IS NOT NULL GROUP BY city HAVING count(*) >= 2)""")
+def q_drop_rare(spark, sf_dir):
+    """Keep rows of cities seen at least twice (raw city text)."""
+    t = hashed_text.read_table(raw_ranges(spark, sf_dir))
+    return clean.drop_rare(t, "city", 2).select("range_id", "city")
+
+
+def labeled(spark, sf_dir, keep_blank=False) -> DataFrame:
+    """P10 over the cleaned table (all rows, bounds not required)."""
+    return clean.require_label(clean.clean_ranges(raw_ranges(spark, sf_dir)), "city", keep_blank)
+
+
+_LABELED_SQL = with_fixture(lookup_ctes(drop_null_bounds=False)) + """,
+lab AS (SELECT * REPLACE (trim(city) AS city) FROM rng_der WHERE city IS NOT NULL AND trim(city) <> ''),
+lcount AS (SELECT city, count(*) AS n FROM lab GROUP BY city),
+grp AS (SELECT lab.*, CASE WHEN lcount.n < 5 THEN 'Other' ELSE lab.city END AS city_grouped
+        FROM lab JOIN lcount USING (city))"""
+
+
+@register("label_counts", _LABELED_SQL + """
+SELECT city, n FROM lcount""")
+def q_label_counts(spark, sf_dir):
+    """A4: rows per trimmed, non-blank city."""
+    return clean.label_counts(labeled(spark, sf_dir), "city")
+
+
+@register("group_rare", _LABELED_SQL + """
+SELECT range_id, city, city_grouped FROM grp""")
+def q_group_rare(spark, sf_dir):
+    """P10 + P13: cities with fewer than 5 rows become 'Other'."""
+    return clean.group_rare(labeled(spark, sf_dir), "city", 5).select("range_id", "city", "city_grouped")
+
+
+@register("class_weights", _LABELED_SQL + """
+SELECT city_grouped, n_c, round((SELECT count(*) FROM grp) / ((SELECT count(DISTINCT city_grouped) FROM grp) * n_c), 9) AS weight
+FROM (SELECT city_grouped, count(*) AS n_c FROM grp GROUP BY city_grouped)""")
+def q_class_weights(spark, sf_dir):
+    """Balanced class weights n / (k * n_c) over the grouped labels."""
+    g = clean.group_rare(labeled(spark, sf_dir), "city", 5)
+    w = stats.class_weights(g, "city_grouped")
+    return w.select("city_grouped", "n_c", F.round("weight", 9).alias("weight"))
+
+
+@register("median_impute", with_fixture(lookup_ctes(drop_null_bounds=False)) + """
+SELECT range_id, coalesce(lat, (SELECT median(lat) FROM rng_der)) AS lat,
+       coalesce(lon, (SELECT median(lon) FROM rng_der)) AS lon
+FROM rng_der""")
+def q_median_impute(spark, sf_dir):
+    """Missing lat/lon -> exact median of the column."""
+    t = clean.clean_ranges(raw_ranges(spark, sf_dir)).select("range_id", "lat", "lon")
+    return stats.impute_median(t, ["lat", "lon"])
+
+
+@register("profile", with_fixture(s1_ctes()) + """
+SELECT count(*) AS n_rows, count(DISTINCT prefix24_token) AS n_prefix24,
+       count(DISTINCT asn_key) AS n_asn, count(DISTINCT city) AS n_city,
+       round(avg(prefix24_count), 6) AS avg_prefix24_count, round(avg(asn_count), 6) AS avg_asn_count,
+       round(avg(prefix24_stability), 6) AS avg_prefix24_stability
+FROM s1f""")
+def q_profile(spark, sf_dir):
+    """One-pass profile of the hashed-text table."""
+    p = stats.profile(hashed_text.with_frequencies(hashed_text.read_table(raw_ranges(spark, sf_dir))))
+    return p.select("n_rows", "n_prefix24", "n_asn", "n_city",
+                    *[F.round(c, 6).alias(c) for c in
+                      ("avg_prefix24_count", "avg_asn_count", "avg_prefix24_stability")])
+
+
+# ----------------------------------------------------------------- step 5: geography
+
+_CENTROID_SQL = """,
+cent AS (SELECT state, avg(lat) AS lat, avg(lon) AS lon FROM lk
+         WHERE lat IS NOT NULL AND lon IS NOT NULL AND state IS NOT NULL GROUP BY state)"""
+
+
+@register("state_centroids", with_fixture(lookup_ctes()) + _CENTROID_SQL + """
+SELECT state, round(lat, 6) AS lat, round(lon, 6) AS lon FROM cent""")
+def q_state_centroids(spark, sf_dir):
+    """A5: mean coordinates per state over the lookup table."""
+    c = stats.state_centroids(lookup_table(spark, sf_dir))
+    return c.select("state", F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
+
+
+def _hav_sql(a1, o1, a2, o2):
+    return (f"6371.0 * 2.0 * asin(sqrt(least(1.0, pow(sin(radians({a2} - {a1}) / 2), 2) + "
+            f"cos(radians({a1})) * cos(radians({a2})) * pow(sin(radians({o2} - {o1}) / 2), 2))))")
+
+
+@register("distance_to_references", with_fixture(lookup_ctes(), queries_cte()) + _CENTROID_SQL + f""",
+ex AS (
+  SELECT query_id, range_id FROM (
+    SELECT qp.query_id, lk.range_id,
+           row_number() OVER (PARTITION BY qp.query_id ORDER BY lk.ip_to - lk.ip_from, lk.range_id) AS rn
+    FROM qp JOIN lk ON qp.ip_num BETWEEN lk.ip_from AND lk.ip_to) WHERE rn = 1)
+SELECT ex.query_id, ex.range_id, lk.lat AS ref_lat, lk.lon AS ref_lon,
+       round(cent.lat, 6) AS whois_lat, round(cent.lon, 6) AS whois_lon,
+       round({_hav_sql('lk.lat', 'lk.lon', 'cent.lat', 'cent.lon')}, 6) AS dist_whois_km
+FROM ex JOIN lk USING (range_id) LEFT JOIN cent ON cent.state = lk.state""")
+def q_distance_to_references(spark, sf_dir):
+    """J9 + F13 + V5: matched range point (commercial reference) vs the state
+    centroid (whois reference), great-circle km."""
+    lk = lookup_table(spark, sf_dir)
+    res = lookup.lookup_ranges(query_table(spark, sf_dir), lk, "most_specific") \
+        .filter(F.col("range_id").isNotNull())
+    rec = lookup.attach_record(res, lk, ["lat", "lon", "state"])
+    refs = lookup.reference_points(rec, stats.state_centroids(lk))
+    return refs.select(
+        "query_id", "range_id", "ref_lat", "ref_lon",
+        F.round("whois_lat", 6).alias("whois_lat"), F.round("whois_lon", 6).alias("whois_lon"),
+        F.round(haversine_km("ref_lat", "ref_lon", "whois_lat", "whois_lon"), 6).alias("dist_whois_km"))
+
+
 # ----------------------------------------------------------------- flagship (entry)
 
 def flagship(spark, sf_dir) -> DataFrame:

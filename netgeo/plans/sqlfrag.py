@@ -101,3 +101,84 @@ qp AS (
 
 def with_fixture(*ctes: str) -> str:
     return sql_prefix() + "".join(ctes)
+
+
+def sql_prefix24(e: str) -> str:
+    return (f"CASE WHEN {e} IS NULL OR NOT contains({e}, '.') OR len(string_split({e}, '.')) < 3 "
+            f"THEN 'prefix24_unknown' ELSE 'prefix24_' || split_part({e}, '.', 1) || '.' || "
+            f"split_part({e}, '.', 2) || '.' || split_part({e}, '.', 3) END")
+
+
+def sql_cidr_length(e: str) -> str:
+    part = f"trim(split_part({e}, '/', 2))"
+    return (f"coalesce(CASE WHEN contains({e}, '/') AND regexp_full_match({part}, '\\s*[+-]?[0-9]+\\s*') "
+            f"THEN TRY_CAST({part} AS INTEGER) END, 24)")
+
+
+def sql_rdns_tokens(e: str) -> str:
+    from netgeo.functions.text import GEO_KEYWORDS, ISP_KEYWORDS
+    low = f"lower({e})"
+    parts = f"string_split({low}, '.')"
+    toks = [f"CASE WHEN len({parts}) >= 2 THEN 'domain_' || {parts}[-2] || '_' || {parts}[-1] END"]
+    toks += [f"CASE WHEN contains({low}, '{k}') THEN 'isp_{k}' END" for k in ISP_KEYWORDS]
+    toks += [f"CASE WHEN contains({low}, '{k}') THEN 'geo_{k}' END" for k in GEO_KEYWORDS]
+    toks.append(f"CASE WHEN regexp_matches({low}, '\\p{{Nd}}') THEN 'has_numbers' END")
+    joined = "concat_ws(' ', " + ", ".join(toks) + ")"
+    return (f"CASE WHEN {e} IS NULL OR {e} = 'no_rdns' THEN 'no_rdns' "
+            f"WHEN {joined} = '' THEN 'no_rdns' ELSE {joined} END")
+
+
+def s1_ctes() -> str:
+    """``s1``: range table as read (CSV NA -> NULL), and ``s1f``: with the
+    per-prefix / per-ASN frequencies and prefix stability attached."""
+    nulls = in_list(CSV_NA_STRINGS)
+    cleaned = ",\n    ".join(
+        f"CASE WHEN {c} IN ({nulls}) THEN NULL ELSE {c} END AS {c}" for c in RANGE_COLUMNS)
+    return f""",
+s1 AS (
+  SELECT range_id,
+    {cleaned}
+  FROM ip_raw),
+s1t AS (
+  SELECT *, {sql_prefix24('ip_start')} AS prefix24_token, coalesce(asn, '0') AS asn_key FROM s1),
+p24c AS (SELECT prefix24_token, count(*) AS prefix24_count FROM s1t GROUP BY prefix24_token),
+asnc AS (SELECT asn_key, count(*) AS asn_count FROM s1t GROUP BY asn_key),
+pc AS (SELECT prefix24_token, city, count(*) AS n FROM s1t GROUP BY prefix24_token, city),
+stab AS (
+  SELECT prefix24_token, CAST(sum(n) AS BIGINT) AS n_rows,
+         CAST(coalesce(max(CASE WHEN city IS NOT NULL THEN n END), 0) AS BIGINT) AS top_label_rows,
+         CASE WHEN sum(n) = 1 THEN 1.0
+              ELSE coalesce(max(CASE WHEN city IS NOT NULL THEN n END), 0) / sum(n) END AS prefix24_stability
+  FROM pc GROUP BY prefix24_token),
+s1f AS (
+  SELECT s1t.*, p24c.prefix24_count, asnc.asn_count, stab.prefix24_stability
+  FROM s1t JOIN p24c USING (prefix24_token) JOIN asnc USING (asn_key) JOIN stab USING (prefix24_token))"""
+
+
+def sql_enhanced_text() -> str:
+    """F12 over ``s1f`` columns, written token by token."""
+    desc = "lower(coalesce(asn_description, 'unknown'))"
+    words = (f"list_filter(string_split_regex(regexp_replace({desc}, '^\\s+|\\s+$', '', 'g'), '\\s+')[1:3], "
+             f"lambda w: length(w) > 2)")
+    desc_tok = (f"CASE WHEN {desc} NOT IN ('unknown', '') AND len({words}) > 0 THEN "
+                f"array_to_string(list_transform({words}, lambda w: 'asndesc_' || w), ' ') END")
+    rd = f"trim({sql_rdns_tokens('rdns_hostname')})"
+    cl = sql_cidr_length("cidr")
+    parts = [
+        "CASE WHEN asn IS NOT NULL AND asn NOT IN ('', 'nan', '0') THEN 'asn_' || asn END",
+        desc_tok,
+        f"CASE WHEN {rd} NOT IN ('', 'no_rdns') THEN {rd} END",
+        "CASE WHEN prefix24_token <> 'prefix24_unknown' THEN prefix24_token END",
+        f"CASE WHEN {cl} <= 16 THEN 'cidr_large' WHEN {cl} <= 20 THEN 'cidr_medium' "
+        f"WHEN {cl} <= 24 THEN 'cidr_small' ELSE 'cidr_tiny' END",
+        "CASE WHEN prefix24_count >= 100 THEN 'prefix24_very_common' WHEN prefix24_count >= 20 THEN "
+        "'prefix24_common' WHEN prefix24_count >= 5 THEN 'prefix24_uncommon' ELSE 'prefix24_rare' END",
+        "CASE WHEN asn_count >= 1000 THEN 'asn_very_large' WHEN asn_count >= 100 THEN 'asn_large' "
+        "WHEN asn_count >= 20 THEN 'asn_medium' ELSE 'asn_small' END",
+        "CASE WHEN prefix24_stability >= 0.9 THEN 'prefix24_very_stable' WHEN prefix24_stability >= 0.7 "
+        "THEN 'prefix24_stable' WHEN prefix24_stability >= 0.5 THEN 'prefix24_unstable' "
+        "ELSE 'prefix24_very_unstable' END",
+        "CASE WHEN lower(coalesce(state, 'nan')) NOT IN ('', 'unknown') THEN 'state_' || lower(coalesce(state, 'nan')) END",
+        "CASE WHEN lower(coalesce(isp, 'nan')) NOT IN ('', 'unknown', 'nan') THEN 'isp_' || lower(coalesce(isp, 'nan')) END",
+    ]
+    return "trim(concat_ws(' ', " + ",\n      ".join(parts) + "))"
