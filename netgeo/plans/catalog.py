@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 
 from netgeo.functions.ipfn import cidr_length, haversine_km, ip_to_long_or_zero, prefix24
 from netgeo.functions.text import cidr_class, rdns_tokens
-from netgeo.operators import clean, hashed_text, lookup, stats
+from netgeo.operators import clean, features, hashed_text, lookup, stats
+from netgeo.session import materialize
 from netgeo.plans.sqlfrag import (lookup_ctes, queries_cte, s1_ctes, sql_cidr_length,
                                   sql_enhanced_text, sql_ipv4, sql_prefix24, sql_rdns_tokens,
                                   with_fixture)
@@ -384,6 +385,136 @@ def q_distance_to_references(spark, sf_dir):
         F.round(haversine_km("ref_lat", "ref_lon", "whois_lat", "whois_lon"), 6).alias("dist_whois_km"))
 
 
+# ----------------------------------------------------------------- step 6: split + features
+
+SEED = 42
+NUMERIC_3 = features.MODEL_FEATURES["boosted"]["numeric"]
+
+
+def model_frame(spark, sf_dir) -> DataFrame:
+    """Labelled, grouped, filled model input (scripts 3-5 shape)."""
+    return features.model_input(clean.clean_ranges(raw_ranges(spark, sf_dir)))
+
+
+def split_frame(spark, sf_dir) -> DataFrame:
+    return features.stratified_split(model_frame(spark, sf_dir), "city_grouped", "range_id",
+                                     0.2, SEED)
+
+
+_SPLIT_SQL = _LABELED_SQL + f""",
+sp0 AS (SELECT grp.*, md5('{SEED}:' || CAST(range_id AS VARCHAR)) AS k FROM grp),
+cls AS (SELECT city_grouped, count(*) AS nc, count(*) // 5 AS base, count(*) % 5 AS rem
+        FROM sp0 GROUP BY city_grouped),
+tot AS (SELECT (sum(nc) + 4) // 5 - sum(base) AS extra FROM cls),
+cls2 AS (SELECT city_grouped, base + CASE WHEN row_number() OVER (ORDER BY rem DESC, city_grouped)
+                                          <= (SELECT extra FROM tot) THEN 1 ELSE 0 END AS ntest FROM cls),
+split AS (
+  SELECT sp0.*, (row_number() OVER (PARTITION BY city_grouped ORDER BY k, range_id) - 1) < ntest AS is_test
+  FROM sp0 JOIN cls2 USING (city_grouped))"""
+
+
+@register("stratified_split", _SPLIT_SQL + """
+SELECT range_id, city_grouped, is_test FROM split""")
+def q_stratified_split(spark, sf_dir):
+    """M12 + M13: reproducible per-class 80/20 split."""
+    return split_frame(spark, sf_dir).select("range_id", "city_grouped", "is_test")
+
+
+def _num_sql(expr_fn) -> str:
+    return ", ".join(expr_fn(c) for c in NUMERIC_3)
+
+
+_MEANS_SQL = _SPLIT_SQL + """,
+tr AS (SELECT * FROM split WHERE NOT is_test),
+mu AS (SELECT """ + ", ".join(f"avg({c}) AS m_{c}" for c in NUMERIC_3) + """ FROM tr),
+sd AS (SELECT """ + ", ".join(
+    f"CASE WHEN coalesce(var_pop(coalesce({c}, (SELECT m_{c} FROM mu))), 0) > 0 "
+    f"THEN sqrt(var_pop(coalesce({c}, (SELECT m_{c} FROM mu)))) ELSE 1.0 END AS s_{c}" for c in NUMERIC_3) + """
+      FROM tr)"""
+
+
+@register("mean_impute", _MEANS_SQL + """
+SELECT range_id, """ + _num_sql(lambda c: f"round(coalesce({c}, (SELECT m_{c} FROM mu)), 6) AS {c}") + """
+FROM split""")
+def q_mean_impute(spark, sf_dir):
+    """M7: numeric NULLs -> train-split means."""
+    sp = split_frame(spark, sf_dir)
+    params = features.fit_mean_std(sp.filter(~F.col("is_test")), NUMERIC_3)
+    out = features.impute_mean(sp.select("range_id", *NUMERIC_3), params)
+    return out.select("range_id", *[F.round(c, 6).alias(c) for c in NUMERIC_3])
+
+
+@register("standardize", _MEANS_SQL + """
+SELECT range_id, """ + _num_sql(
+    lambda c: f"round((coalesce({c}, (SELECT m_{c} FROM mu)) - (SELECT m_{c} FROM mu)) / (SELECT s_{c} FROM sd), 6) AS {c}") + """
+FROM split""")
+def q_standardize(spark, sf_dir):
+    """M7 + M8: mean-impute, then scale by the train population std."""
+    sp = split_frame(spark, sf_dir)
+    params = features.fit_mean_std(sp.filter(~F.col("is_test")), NUMERIC_3)
+    out = features.standardize(sp.select("range_id", *NUMERIC_3), params)
+    return out.select("range_id", *[F.round(c, 6).alias(c) for c in NUMERIC_3])
+
+
+@register("label_index", _LABELED_SQL + """
+SELECT DISTINCT city_grouped, CAST(dense_rank() OVER (ORDER BY city_grouped) - 1 AS INTEGER) AS label_index
+FROM grp""")
+def q_label_index(spark, sf_dir):
+    """M9: class labels -> 0..k-1 in alphabetical order."""
+    idx, _ = features.label_index(model_frame(spark, sf_dir), "city_grouped")
+    return idx.select("city_grouped", "label_index").distinct()
+
+
+_TOKEN_SQL = f"regexp_extract_all(lower(text), '{features.TOKEN_PATTERN}')"
+_DOC_TERMS_SQL = f""",
+dtok AS (SELECT doc_id, {_TOKEN_SQL} AS t FROM documents),
+dterm AS (
+  SELECT doc_id, unnest(t) AS term FROM dtok
+  UNION ALL
+  SELECT doc_id, unnest(list_transform(range(1, len(t)), lambda i: t[i] || ' ' || t[i + 1])) AS term
+  FROM dtok WHERE len(t) > 1),
+dtf AS (SELECT doc_id, term, count(*) AS tf FROM dterm GROUP BY doc_id, term)"""
+
+
+def _docs(spark, sf_dir):
+    return fixtures.table(spark, sf_dir, "documents").select("doc_id", "text")
+
+
+@register("tokens", f"""
+WITH dtok AS (SELECT doc_id, {_TOKEN_SQL} AS t FROM documents)
+SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(t) AS term FROM dtok)
+GROUP BY doc_id, term""")
+def q_tokens(spark, sf_dir):
+    """M1: word tokens per document (term counts), whole texts."""
+    return features.term_counts(_docs(spark, sf_dir), "doc_id", "text", 1)
+
+
+@register("ngrams", "WITH dummy AS (SELECT 1)" + _DOC_TERMS_SQL + """
+SELECT doc_id, term, tf FROM dtf""")
+def q_ngrams(spark, sf_dir):
+    """M2: unigram + bigram counts per document."""
+    return features.term_counts(_docs(spark, sf_dir), "doc_id", "text", 2)
+
+
+TFIDF_MAX_FEATURES = 400
+
+
+@register("tfidf_terms", "WITH dummy AS (SELECT 1)" + _DOC_TERMS_SQL + f""",
+voc AS (SELECT term, sum(tf) AS total, count(*) AS df FROM dtf GROUP BY term
+        ORDER BY total DESC, term ASC LIMIT {TFIDF_MAX_FEATURES}),
+nd AS (SELECT count(*) AS n FROM documents),
+w AS (SELECT dtf.doc_id, dtf.term, dtf.tf * (ln((1.0 + (SELECT n FROM nd)) / (1.0 + voc.df)) + 1.0) AS w
+      FROM dtf JOIN voc USING (term))
+SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM w""")
+def q_tfidf_terms(spark, sf_dir):
+    """M4: TF-IDF (smoothed idf, L2 norm) over the top 400 (1,2)-grams, long form."""
+    docs = _docs(spark, sf_dir)
+    tf = materialize(features.term_counts(docs, "doc_id", "text", 2))
+    vocab = features.fit_vocabulary(tf, docs.agg(F.count(F.lit(1))).scalar(), TFIDF_MAX_FEATURES)
+    out = features.tfidf_long(tf, vocab)
+    return out.select("doc_id", "term", F.round("weight", 6).alias("weight"))
+
+
 # ----------------------------------------------------------------- flagship (entry)
 
 def flagship(spark, sf_dir) -> DataFrame:
