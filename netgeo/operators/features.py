@@ -52,8 +52,10 @@ def stratified_split(df: DataFrame, label: str, id_col: str, test_frac: float =
     frac = Fraction(test_frac).limit_denominator(10_000)
     num, den = frac.numerator, frac.denominator
     key = order_key(id_col, seed)
-    base = df.select("*", key.alias("_k")).select(
-        "*", F.substring("_k", 1, SPLIT_SUB_BITS_HEX).alias("_sb"))
+    from netgeo.session import materialize
+    # read three times below (sub-bucket counts, class counts, ranking): written once
+    base = materialize(df.select("*", key.alias("_k")).select(
+        "*", F.substring("_k", 1, SPLIT_SUB_BITS_HEX).alias("_sb")))
 
     sub = base.groupBy(label, "_sb").agg(F.count(F.lit(1)).alias("_sbn"))
     wsub = Window.partitionBy(label).orderBy("_sb")  # <= 2^16 rows per class

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from netgeo.functions.ipfn import cidr_length, haversine_km, ip_to_long_or_zero, prefix24
 from netgeo.functions.text import cidr_class, rdns_tokens
-from netgeo.operators import clean, features, hashed_text, lookup, stats
+from netgeo.operators import clean, evaluate, features, hashed_text, knn, lookup, stats
 from netgeo.session import materialize
 from netgeo.plans.sqlfrag import (lookup_ctes, queries_cte, s1_ctes, sql_cidr_length,
                                   sql_enhanced_text, sql_ipv4, sql_prefix24, sql_rdns_tokens,
@@ -397,8 +397,10 @@ def model_frame(spark, sf_dir) -> DataFrame:
 
 
 def split_frame(spark, sf_dir) -> DataFrame:
-    return features.stratified_split(model_frame(spark, sf_dir), "city_grouped", "range_id",
-                                     0.2, SEED)
+    """The split model input; written once because the train and test branches
+    of every model read it."""
+    return materialize(features.stratified_split(model_frame(spark, sf_dir), "city_grouped",
+                                                 "range_id", 0.2, SEED))
 
 
 _SPLIT_SQL = _LABELED_SQL + f""",
@@ -515,6 +517,140 @@ def q_tfidf_terms(spark, sf_dir):
     return out.select("doc_id", "term", F.round("weight", 6).alias("weight"))
 
 
+# ----------------------------------------------------------------- step 7: evaluation
+
+_PRED_SQL = _SPLIT_SQL + """,
+trn AS (SELECT * FROM split WHERE NOT is_test),
+tst AS (SELECT * FROM split WHERE is_test),
+per AS (SELECT ip_from >> 16 AS blk, city_grouped AS l, count(*) AS n FROM trn GROUP BY 1, 2),
+maj AS (SELECT blk, l FROM (SELECT blk, l, row_number() OVER (PARTITION BY blk ORDER BY n DESC, l) AS rn
+                            FROM per) WHERE rn = 1),
+globl AS (SELECT l FROM (SELECT l, sum(n) AS n FROM per GROUP BY l) ORDER BY n DESC, l LIMIT 1),
+pred AS (SELECT tst.*, coalesce(maj.l, (SELECT l FROM globl)) AS predicted
+         FROM tst LEFT JOIN maj ON maj.blk = tst.ip_from >> 16)"""
+
+
+def predictions_frame(spark, sf_dir) -> DataFrame:
+    """Test rows with the /16-majority prediction (deterministic baseline)."""
+    sp = split_frame(spark, sf_dir)
+    return evaluate.prefix_majority_predictor(sp.filter(~F.col("is_test")), sp.filter(F.col("is_test")),
+                                              "ip_from", "city_grouped")
+
+
+@register("accuracy", _PRED_SQL + """
+SELECT count(*) AS n, round(avg(CAST(city_grouped = predicted AS DOUBLE)), 6) AS accuracy FROM pred""")
+def q_accuracy(spark, sf_dir):
+    """V1 over the /16-majority predictions of the test split."""
+    a = evaluate.accuracy(predictions_frame(spark, sf_dir), "city_grouped", "predicted")
+    return a.select("n", F.round("accuracy", 6).alias("accuracy"))
+
+
+@register("classification_report", _PRED_SQL + """,
+lbls AS (SELECT city_grouped AS label FROM pred UNION SELECT predicted FROM pred),
+pc AS (SELECT label,
+         (SELECT count(*) FROM pred WHERE city_grouped = label AND predicted = label) AS tp,
+         (SELECT count(*) FROM pred WHERE city_grouped = label) AS support,
+         (SELECT count(*) FROM pred WHERE predicted = label) AS pred_n
+       FROM lbls),
+pr AS (SELECT label, CASE WHEN pred_n > 0 THEN tp / pred_n ELSE 0.0 END AS precision,
+              CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS recall, support FROM pc),
+pf AS (SELECT label, precision, recall,
+              CASE WHEN precision + recall > 0 THEN 2 * precision * recall / (precision + recall) ELSE 0.0 END AS f1_score,
+              support FROM pr)
+SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1_score, 6) AS f1_score,
+       CAST(support AS BIGINT) AS support FROM pf
+UNION ALL SELECT 'accuracy', NULL, NULL, round(avg(CAST(city_grouped = predicted AS DOUBLE)), 6), count(*) FROM pred
+UNION ALL SELECT 'macro avg', round(avg(precision), 6), round(avg(recall), 6), round(avg(f1_score), 6),
+                 CAST(sum(support) AS BIGINT) FROM pf
+UNION ALL SELECT 'weighted avg', round(sum(precision * support) / sum(support), 6),
+                 round(sum(recall * support) / sum(support), 6), round(sum(f1_score * support) / sum(support), 6),
+                 CAST(sum(support) AS BIGINT) FROM pf""")
+def q_classification_report(spark, sf_dir):
+    """V2 over the /16-majority predictions."""
+    r = evaluate.classification_report(predictions_frame(spark, sf_dir), "city_grouped", "predicted")
+    return r.select("label", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1_score")],
+                    "support")
+
+
+@register("sample_predictions", _PRED_SQL + """
+SELECT actual, range_id, predicted FROM (
+  SELECT city_grouped AS actual, range_id, predicted,
+         row_number() OVER (PARTITION BY city_grouped ORDER BY range_id) AS rn FROM pred) WHERE rn = 1
+ORDER BY actual LIMIT 5""")
+def q_sample_predictions(spark, sf_dir):
+    """V4: first test row of each of the first five classes."""
+    return evaluate.sample_predictions(predictions_frame(spark, sf_dir), "city_grouped", "predicted",
+                                       "range_id", 5)
+
+
+@register("rmse", _SPLIT_SQL + """,
+trn AS (SELECT * FROM split WHERE NOT is_test),
+tst AS (SELECT * FROM split WHERE is_test),
+allm AS (SELECT avg(lat) AS mlat, avg(lon) AS mlon FROM split),
+trm AS (SELECT avg(lat) AS tlat, avg(lon) AS tlon FROM trn),
+bm AS (SELECT ip_from >> 16 AS blk, avg(lat) AS blat, avg(lon) AS blon FROM trn GROUP BY 1),
+pr AS (SELECT coalesce(tst.lat, (SELECT mlat FROM allm)) AS lat, coalesce(tst.lon, (SELECT mlon FROM allm)) AS lon,
+              coalesce(bm.blat, (SELECT tlat FROM trm)) AS plat, coalesce(bm.blon, (SELECT tlon FROM trm)) AS plon
+       FROM tst LEFT JOIN bm ON bm.blk = tst.ip_from >> 16)
+SELECT round(sqrt(avg(pow(lat - plat, 2))), 6) AS rmse_lat, round(sqrt(avg(pow(lon - plon, 2))), 6) AS rmse_lon
+FROM pr""")
+def q_rmse(spark, sf_dir):
+    """A7 + V3: lat/lon RMSE of the /16 block-mean predictor (NULL truth ->
+    whole-table mean)."""
+    sp = split_frame(spark, sf_dir)
+    means = stats.column_means(sp, ["lat", "lon"])
+    trn, tst = sp.filter(~F.col("is_test")), sp.filter(F.col("is_test"))
+    tmeans = stats.column_means(trn, ["lat", "lon"])
+    blk = F.shiftright("ip_from", 16)
+    bm = trn.groupBy(blk.alias("_blk")).agg(F.avg("lat").alias("blat"), F.avg("lon").alias("blon"))
+    pr = tst.select("*", blk.alias("_blk")).join(bm, "_blk", "left").select(
+        F.coalesce("lat", means.select("lat").scalar()).alias("lat"),
+        F.coalesce("lon", means.select("lon").scalar()).alias("lon"),
+        F.coalesce("blat", tmeans.select("lat").scalar()).alias("plat"),
+        F.coalesce("blon", tmeans.select("lon").scalar()).alias("plon"))
+    r = evaluate.rmse(pr, [("lat", "plat"), ("lon", "plon")])
+    return r.select(*[F.round(c, 6).alias(c) for c in r.columns])
+
+
+# ----------------------------------------------------------------- step 8: cosine top-k / KNN
+
+KNN_K = 7
+_EMB_SQL = f"""
+WITH e AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+p AS (SELECT a.vec_id AS qid, b.vec_id AS iid, b.label, list_cosine_similarity(a.v, b.v) AS sim FROM e a, e b),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY round(sim, 9) DESC, iid) AS rank FROM p),
+nb AS (SELECT * FROM r WHERE rank <= {KNN_K})"""
+
+
+def _emb_neighbours(spark, sf_dir):
+    emb = fixtures.table(spark, sf_dir, "embeddings")
+    return knn.topk_cosine(emb, emb, KNN_K, "vec_id", "vec_id", "embedding", "embedding"), emb
+
+
+@register("embedding_topk", _EMB_SQL + """
+SELECT qid, iid, round(sim, 6) AS sim, rank FROM nb""")
+def q_embedding_topk(spark, sf_dir):
+    """E7 core: the 7 most cosine-similar vectors of every vector (itself included)."""
+    nb, _ = _emb_neighbours(spark, sf_dir)
+    return nb.select("qid", "iid", F.round("sim", 6).alias("sim"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@register("embedding_knn_vote", _EMB_SQL + f""",
+votes AS (SELECT qid, label, count(*) AS votes FROM nb GROUP BY qid, label),
+best AS (SELECT qid, label AS pred, votes FROM (
+  SELECT *, row_number() OVER (PARTITION BY qid ORDER BY votes DESC, label) AS rn FROM votes) WHERE rn = 1)
+SELECT best.qid, best.pred, round(best.votes / {KNN_K}.0, 6) AS pred_prob, round(m.mean_label, 6) AS mean_label
+FROM best JOIN (SELECT qid, avg(label) AS mean_label FROM nb GROUP BY qid) m USING (qid)""")
+def q_embedding_knn_vote(spark, sf_dir):
+    """E7 + E8: majority label (ties: smallest) and mean label of the 7 neighbours."""
+    nb, emb = _emb_neighbours(spark, sf_dir)
+    nl = nb.join(emb.select(F.col("vec_id").alias("iid"), "label"), "iid")
+    v = knn.vote(nl, "label", KNN_K, "pred")
+    m = knn.mean_target(nl, "label", "mean_label")
+    return v.join(m, "qid").select("qid", "pred", F.round("pred_prob", 6).alias("pred_prob"),
+                                   F.round("mean_label", 6).alias("mean_label"))
+
+
 # ----------------------------------------------------------------- flagship (entry)
 
 def flagship(spark, sf_dir) -> DataFrame:
