@@ -651,6 +651,57 @@ def q_embedding_knn_vote(spark, sf_dir):
                                    F.round("mean_label", 6).alias("mean_label"))
 
 
+# ----------------------------------------------------------------- steps 7-9: models (rows-only)
+# Model outputs depend on MLlib's solvers, so these have no SQL oracle; their
+# pytest checks assert they beat the majority-class baseline and are stable.
+
+BOOST_ROUNDS_CHECK = 5  # documented default is 400; the registered check uses 5
+
+
+@register("tree_predictions")
+def q_tree_predictions(spark, sf_dir):
+    """E4-E6 + E10: decision trees for city, lat, lon, reachable on the test split."""
+    from netgeo.plans import pipelines
+    return pipelines.tree_predictions(split_frame(spark, sf_dir))
+
+
+@register("knn_predictions")
+def q_knn_predictions(spark, sf_dir):
+    """Cosine 7-NN vote / mean over TF-IDF + scaled numeric + one-hot vectors."""
+    from netgeo.plans import pipelines
+    return pipelines.knn_predictions(split_frame(spark, sf_dir))
+
+
+@register("hashed_lr_predictions")
+def q_hashed_lr_predictions(spark, sf_dir):
+    """Hashed (1,2)-gram text -> balanced one-vs-rest logistic regression."""
+    from netgeo.plans import pipelines
+    return pipelines.hashed_lr_predictions(raw_ranges(spark, sf_dir))
+
+
+@register("rbf_predictions")
+def q_rbf_predictions(spark, sf_dir):
+    """M11 + E2: random Fourier features (300, gamma 0.1) -> logistic regression."""
+    from netgeo.plans import pipelines
+    return pipelines.rbf_predictions(split_frame(spark, sf_dir))
+
+
+@register("boosted_predictions")
+def q_boosted_predictions(spark, sf_dir):
+    """One-vs-rest boosted trees with holdout early stopping."""
+    from netgeo.plans import pipelines
+    return pipelines.boosted_predictions(split_frame(spark, sf_dir), rounds=BOOST_ROUNDS_CHECK)
+
+
+@register("score_ips")
+def q_score_ips(spark, sf_dir):
+    """E10 end to end: every IP of the stream resolved (exact -> nearest ->
+    IP-only) and scored by the tree models."""
+    from netgeo.plans import pipelines
+    return pipelines.score_ips_with_trees(query_table(spark, sf_dir), lookup_table(spark, sf_dir),
+                                          split_frame(spark, sf_dir))
+
+
 # ----------------------------------------------------------------- flagship (entry)
 
 def flagship(spark, sf_dir) -> DataFrame:
