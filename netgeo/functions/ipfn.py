@@ -131,4 +131,6 @@ def haversine_km(lat1, lon1, lat2, lon2) -> Column:
     dlon = F.radians(lon2 - lon1)
     a = (F.pow(F.sin(dlat / 2), 2)
          + F.cos(F.radians(lat1)) * F.cos(F.radians(lat2)) * F.pow(F.sin(dlon / 2), 2))
-    return F.lit(6371.0) * F.lit(2.0) * F.asin(F.sqrt(F.least(F.lit(1.0), a)))
+    # clamp rounding noise above 1; a plain least() would turn NULL into 1
+    clamped = F.when(a > 1.0, F.lit(1.0)).otherwise(a)
+    return F.lit(6371.0) * F.lit(2.0) * F.asin(F.sqrt(clamped))

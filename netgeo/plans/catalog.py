@@ -357,8 +357,9 @@ def q_state_centroids(spark, sf_dir):
 
 
 def _hav_sql(a1, o1, a2, o2):
-    return (f"6371.0 * 2.0 * asin(sqrt(least(1.0, pow(sin(radians({a2} - {a1}) / 2), 2) + "
-            f"cos(radians({a1})) * cos(radians({a2})) * pow(sin(radians({o2} - {o1}) / 2), 2))))")
+    a = (f"(pow(sin(radians({a2} - {a1}) / 2), 2) + "
+         f"cos(radians({a1})) * cos(radians({a2})) * pow(sin(radians({o2} - {o1}) / 2), 2))")
+    return f"6371.0 * 2.0 * asin(sqrt(CASE WHEN {a} > 1.0 THEN 1.0 ELSE {a} END))"
 
 
 @register("distance_to_references", with_fixture(lookup_ctes(), queries_cte()) + _CENTROID_SQL + f""",
