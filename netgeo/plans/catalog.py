@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from netgeo.functions.ipfn import cidr_length, haversine_km, ip_to_long_or_zero, prefix24
 from netgeo.functions.text import cidr_class, rdns_tokens
-from netgeo.operators import clean, evaluate, features, hashed_text, knn, lookup, stats
+from netgeo.operators import clean, compare, evaluate, features, hashed_text, knn, lookup, stats
 from netgeo.session import materialize
 from netgeo.plans.sqlfrag import (lookup_ctes, queries_cte, s1_ctes, sql_cidr_length,
                                   sql_enhanced_text, sql_ipv4, sql_prefix24, sql_rdns_tokens,
@@ -652,6 +652,51 @@ def q_embedding_knn_vote(spark, sf_dir):
                                    F.round("mean_label", 6).alias("mean_label"))
 
 
+# ----------------------------------------------------------------- step 10: model comparison
+
+@register("compare_models", with_fixture(lookup_ctes(), queries_cte()) + _CENTROID_SQL + f""",
+ex AS (
+  SELECT query_id, range_id FROM (
+    SELECT qp.query_id, lk.range_id,
+           row_number() OVER (PARTITION BY qp.query_id ORDER BY lk.ip_to - lk.ip_from, lk.range_id) AS rn
+    FROM qp JOIN lk ON qp.ip_num BETWEEN lk.ip_from AND lk.ip_to) WHERE rn = 1),
+rec AS (SELECT qp.query_id, qp.ip_num, qp.error, ex.range_id, lk.city, lk.lat, lk.lon, lk.state
+        FROM qp LEFT JOIN ex USING (query_id) LEFT JOIN lk USING (range_id)),
+refs AS (SELECT rec.query_id, rec.lat AS ref_lat, rec.lon AS ref_lon, cent.lat AS whois_lat, cent.lon AS whois_lon
+         FROM rec LEFT JOIN cent ON cent.state = rec.state),
+m1 AS (SELECT query_id, 'lookup' AS model, trim(city) AS predicted, lat AS pred_lat, lon AS pred_lon,
+              coalesce(error, CASE WHEN range_id IS NULL THEN 'no matching range' END) AS error FROM rec),
+lkb AS (SELECT ip_from >> 16 AS blk, trim(city) AS c, lat, lon FROM lk),
+cnt AS (SELECT blk, c, count(*) AS n FROM lkb WHERE c IS NOT NULL GROUP BY blk, c),
+maj AS (SELECT blk, c FROM (SELECT blk, c, row_number() OVER (PARTITION BY blk ORDER BY n DESC, c) AS rn
+                            FROM cnt) WHERE rn = 1),
+pts AS (SELECT blk, avg(lat) AS la, avg(lon) AS lo FROM lkb GROUP BY blk),
+m2 AS (SELECT qp.query_id, 'prefix16' AS model, maj.c AS predicted, pts.la AS pred_lat, pts.lo AS pred_lon,
+              coalesce(qp.error, CASE WHEN pts.blk IS NULL THEN 'no ranges in block' END) AS error
+       FROM qp LEFT JOIN pts ON pts.blk = qp.ip_num >> 16 LEFT JOIN maj ON maj.blk = qp.ip_num >> 16),
+u AS (SELECT * FROM m1 UNION ALL SELECT * FROM m2)
+SELECT u.query_id, u.model, u.predicted, round(u.pred_lat, 6) AS pred_lat, round(u.pred_lon, 6) AS pred_lon,
+       u.error, round({_hav_sql('pred_lat', 'coalesce(pred_lon, ref_lon)', 'ref_lat', 'ref_lon')}, 6) AS dist_commercial_km,
+       round({_hav_sql('pred_lat', 'coalesce(pred_lon, whois_lon)', 'whois_lat', 'whois_lon')}, 6) AS dist_whois_km
+FROM u LEFT JOIN refs USING (query_id)""")
+def q_compare_models(spark, sf_dir):
+    """J11 + J9 + V5: two models' answers per IP with distances to the
+    commercial (matched range) and whois (state centroid) references."""
+    lk = lookup_table(spark, sf_dir)
+    queries = query_table(spark, sf_dir)
+    res = lookup.resolve(queries, lk, "exact")
+    rec = lookup.attach_record(res, lk, ["city", "lat", "lon", "state"])
+    refs = lookup.reference_points(rec, stats.state_centroids(lk)).select(
+        "query_id", "ref_lat", "ref_lon", "whois_lat", "whois_lon")
+    preds = [compare.lookup_predictor(rec),
+             compare.block_predictor(lookup.parse_queries(queries), lk)]
+    out = compare.compare_models(preds, refs)
+    return out.select("query_id", "model", "predicted", F.round("pred_lat", 6).alias("pred_lat"),
+                      F.round("pred_lon", 6).alias("pred_lon"), "error",
+                      F.round("dist_commercial_km", 6).alias("dist_commercial_km"),
+                      F.round("dist_whois_km", 6).alias("dist_whois_km"))
+
+
 # ----------------------------------------------------------------- steps 7-9: models (rows-only)
 # Model outputs depend on MLlib's solvers, so these have no SQL oracle; their
 # pytest checks assert they beat the majority-class baseline and are stable.
