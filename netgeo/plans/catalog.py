@@ -652,6 +652,20 @@ def q_embedding_knn_vote(spark, sf_dir):
                                    F.round("mean_label", 6).alias("mean_label"))
 
 
+@register("embedding_knn_topk", _EMB_SQL + f""",
+probs AS (SELECT qid, label, count(*) / {KNN_K}.0 AS prob FROM nb GROUP BY qid, label),
+rk AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY prob DESC, label) AS rank FROM probs)
+SELECT qid, label, round(prob, 6) AS prob, rank FROM rk WHERE rank <= 5""")
+def q_embedding_knn_topk(spark, sf_dir):
+    """The 5 most probable classes per query (KNN vote shares), long form."""
+    nb, emb = _emb_neighbours(spark, sf_dir)
+    nl = nb.join(emb.select(F.col("vec_id").alias("iid"), "label"), "iid")
+    probs = nl.groupBy("qid", "label").agg((F.count(F.lit(1)) / F.lit(float(KNN_K))).alias("prob"))
+    top = evaluate.top_k_long(probs, "qid", "label", "prob", 5)
+    return top.select("qid", "label", F.round("prob", 6).alias("prob"),
+                      F.col("rank").cast("bigint").alias("rank"))
+
+
 # ----------------------------------------------------------------- step 10: model comparison
 
 @register("compare_models", with_fixture(lookup_ctes(), queries_cte()) + _CENTROID_SQL + f""",

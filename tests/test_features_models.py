@@ -89,3 +89,25 @@ def test_stream_resolve_matches_batch(spark):
     exp = {r["query_id"]: (r["range_id"], r["match_kind"], r["error"])
            for r in lookup.resolve(q, lk, "nearest").collect()}
     assert got == exp
+
+
+def test_hashed_lr_and_boosted_beat_majority(spark):
+    raw = catalog.raw_ranges(spark, SF_MID)
+    preds = pipelines.hashed_lr_predictions(raw)
+    acc = preds.select(F.avg((F.col("actual") == F.col("predicted")).cast("double"))).first()[0]
+    assert acc > _majority_baseline(preds)
+    split = catalog.split_frame(spark, SF_MID)
+    preds = pipelines.boosted_predictions(split, rounds=3)
+    acc = preds.select(F.avg((F.col("actual") == F.col("predicted")).cast("double"))).first()[0]
+    assert acc > _majority_baseline(preds)
+    probs_ok = preds.filter((F.col("prob") < 0) | (F.col("prob") > 1)).count()
+    assert probs_ok == 0
+
+
+def test_score_ips_keeps_every_query(spark):
+    out = entry.queries()["score_ips"](spark, SF_SMALL)
+    n_q = catalog.query_table(spark, SF_SMALL).count()
+    assert out.count() == n_q
+    bad = out.filter(F.col("error").isNotNull() & F.col("predicted").isNotNull()).count()
+    assert bad == 0
+    assert out.filter(F.col("error").isNull() & F.col("predicted").isNull()).count() == 0
