@@ -55,10 +55,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
-    conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    try:
+        conf_dir = spark.conf.get("spark.checkpoint.dir", None)
+    except Exception:  # not readable on this session
+        conf_dir = None
+    conf_dir = conf_dir or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
+        # only reached when the session names no shared folder (local tests)
         conf_dir = tempfile.mkdtemp(prefix="netgeo-ckpt-", dir="/tmp")
-        spark.conf.set("spark.checkpoint.dir", conf_dir)
+        try:
+            spark.conf.set("spark.checkpoint.dir", conf_dir)
+        except Exception:  # static on some deployments; the context setting suffices
+            pass
     sc.setCheckpointDir(conf_dir)
     return sc.getCheckpointDir() or conf_dir
 

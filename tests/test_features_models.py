@@ -111,3 +111,17 @@ def test_score_ips_keeps_every_query(spark):
     bad = out.filter(F.col("error").isNotNull() & F.col("predicted").isNotNull()).count()
     assert bad == 0
     assert out.filter(F.col("error").isNull() & F.col("predicted").isNull()).count() == 0
+
+
+def test_csv_source_roundtrip(spark):
+    from netgeo.operators import clean
+    d = tempfile.mkdtemp(prefix="netgeo-csv-", dir="/tmp")
+    raw = catalog.raw_ranges(spark, SF_SMALL)
+    raw.coalesce(1).write.mode("overwrite").option("header", True).option("emptyValue", "") \
+        .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(d)
+    back = io.read_ranges_csv(spark, d)
+    a = {r["range_id"]: (r["ip_from"], r["city"]) for r in clean.load_lookup(back).collect()}
+    b = {r["range_id"]: (r["ip_from"], r["city"]) for r in catalog.lookup_table(spark, SF_SMALL).collect()}
+    assert a == b
+    empty = io.read_or_empty(spark, os.path.join(d, "missing"))
+    assert empty.count() == 0 and "ip_from" in empty.columns
