@@ -100,8 +100,12 @@ def with_ngrams(toks, n_max: int = 2) -> Column:
 
 def term_counts(docs: DataFrame, id_col: str, text_col: str, n_max: int = 2) -> DataFrame:
     """(id, term, tf): one row per distinct term of a document."""
-    t = docs.select(F.col(id_col).alias("doc_id"),
-                    F.explode(with_ngrams(tokens(text_col), n_max)).alias("term"))
+    # tokens first, as their own column: the n-gram expression reads the token
+    # array several times and must not re-run the regex for each read
+    from netgeo.session import spread
+    toks = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))) \
+        .select("doc_id", tokens("_text").alias("_t"))
+    t = toks.select("doc_id", F.explode(with_ngrams("_t", n_max)).alias("term"))
     return t.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 

@@ -81,3 +81,14 @@ def materialize(df):
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def spread(df):
+    """Round-robin a frame whose scan yields fewer partitions than the
+    cluster's parallelism (e.g. one large row group) before heavy per-row
+    work.  With many input splits - the normal case at scale - it is a no-op,
+    so no extra shuffle is added there."""
+    par = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() < par:
+        return df.repartition(par)
+    return df
