@@ -6,6 +6,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from netgeo.session import ensure_checkpoint_dir
@@ -35,7 +36,7 @@ def runs(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = RUN
         if batch.num_rows == 0:
             continue
         col = batch.column(batch.schema.get_field_index(text))
-        sizes = pa.compute.fill_null(pa.compute.binary_length(col), 0).to_pylist()
+        sizes = pc.fill_null(pc.binary_length(col), 0).to_pylist()
         start = held = 0
         for i, size in enumerate(sizes):
             if i > start and held + size > limit:
