@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
 NGRAMS = (3, 4, 5)
-BUCKETS = 1 << 15
+BUCKETS = 1 << 18
 
 #: Names of the labelled hosts. Each one is set into every frame of FRAMES, so
 #: that only the name tells the classes apart.
@@ -90,9 +90,10 @@ def features(urls: DataFrame, buckets: int = BUCKETS, sizes: Sequence[int] = NGR
 
 def train(labelled: DataFrame, buckets: int = BUCKETS, sizes: Sequence[int] = NGRAMS) -> LogisticRegressionModel:
     host, path = host_and_path(F.col("url"))
-    rows = features(labelled.select(host.alias("host"), path.alias("path"), F.col("label").cast("double").alias("label")), buckets, sizes)
+    label = F.col("label").cast("double").alias("label")
+    rows = features(labelled.select(host.alias("host"), path.alias("path"), label), buckets, sizes)
     return LogisticRegression(featuresCol="_features", labelCol="label", predictionCol="_prediction", probabilityCol="_probability",
-                              rawPredictionCol="_raw", maxIter=200, regParam=0.002, standardization=False).fit(rows)
+                              rawPredictionCol="_raw", maxIter=200, regParam=0.0001, standardization=False).fit(rows)
 
 
 def judge(pages: DataFrame, model: LogisticRegressionModel, rules: Sequence[tuple[str, str, str]] = RULES, key: str = "page_id",
