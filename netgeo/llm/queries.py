@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from netgeo.llm import licenses, packing, token_counts, url_filter
+from netgeo.llm import language, licenses, packing, token_counts, url_filter
 from netgeo.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -23,9 +23,15 @@ def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labelled = language.label_spans(docs, language.learn_by_contract(docs))
+    return labelled.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score")
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), WORD_BPE)
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_license_scans, op3_best_fit_packing, op6_token_counts)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_license_scans, op3_best_fit_packing, op5_language_id, op6_token_counts)}
 ORACLES: dict[str, str] = {}
