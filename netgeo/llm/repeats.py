@@ -76,22 +76,25 @@ def _count(table: pa.Table) -> pa.Table:
                      "places": pa.array([p.tobytes() for p in places if len(p)], pa.binary())})
 
 
-def answered(dealt: DataFrame, n_hashes: int, hashes: Callable[[pa.Table], tuple[np.ndarray, np.ndarray]],
-             second: Callable[[pa.Table, Distinct, list], pa.Table], schema: str) -> DataFrame:
-    """``second(block, its hashes, answers)`` for every block of ``dealt``.
-    ``hashes`` gives a block's hashes and a second number of each, which picks
-    the bucket; hashes that differ there are never taken for one another."""
+def answered(dealt: DataFrame, n_hashes: int, hashes: Callable[[pa.Table], tuple],
+             second: Callable[[pa.Table, object, np.ndarray], pa.Table], schema: str) -> DataFrame:
+    """``second(block, state, repeated)`` for every block of ``dealt``, with
+    True in ``repeated`` for each hash that occurs twice or more.  ``hashes``
+    gives a block's hashes, a second number of each, which picks the bucket
+    (hashes that differ there are never taken for one another), and any state
+    for ``second``."""
     n_buckets = n_hashes // BUCKET_HASHES + 1
 
     def send(table: pa.Table) -> pa.Table:
         block = table.column("_block")[0].as_py()
-        sent = list(Distinct(*hashes(table), n_buckets).arrays())
+        sent = list(Distinct(*hashes(table)[:2], n_buckets).arrays())
         return pa.table({"_block": pa.array([block] * len(sent), pa.int64()), "bucket": pa.array([b for b, _ in sent], pa.int64()),
                          "hashes": pa.array([x for _, x in sent], pa.binary())})
 
     def both(_, left: pa.Table, right: pa.Table) -> pa.Table:
         answers = list(zip(right.column("bucket").to_pylist(), right.column("places").to_pylist()))
-        return second(left, Distinct(*hashes(left), n_buckets), answers)
+        found, lane, state = hashes(left)
+        return second(left, state, Distinct(found, lane, n_buckets).repeated(answers))
 
     sent = dealt.groupBy("_block").applyInArrow(send, "_block bigint, bucket bigint, hashes binary")
     answers = sent.groupBy("bucket").applyInArrow(_count, "_block bigint, bucket bigint, places binary")

@@ -22,7 +22,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 
-from netgeo.llm.repeats import BLOCK_BYTES, Distinct, answered, blocks
+from netgeo.llm.repeats import BLOCK_BYTES, answered, blocks
 
 WINDOW = 35
 _BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93)
@@ -62,14 +62,15 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", window: int
     dealt, total, _ = blocks(docs, key, text, block_bytes)
 
     def hashes(table: pa.Table):
-        return window_hashes(_words(table), window)[1:]
+        words = _words(table)
+        start, one, two = window_hashes(words, window)
+        return one, two, (words, start)
 
-    def remove(table: pa.Table, distinct: Distinct, answers: list) -> pa.Table:
-        texts = _words(table)
+    def remove(table: pa.Table, state: tuple, repeated: np.ndarray) -> pa.Table:
+        texts, start = state
         sizes = np.fromiter(map(len, texts), np.int64, len(texts))
         n, ends = int(sizes.sum()), np.cumsum(sizes)
-        start = np.flatnonzero(np.arange(n) + window <= np.repeat(ends, sizes))
-        hit = start[distinct.repeated(answers)]
+        hit = start[repeated]
         step = np.zeros(n + 1, np.int64)
         np.add.at(step, hit, 1)
         np.add.at(step, hit + window, -1)
