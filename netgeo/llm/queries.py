@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from netgeo.llm import decontamination, jaccard, language, licenses, packing, substring_dedup, token_counts, url_filter
+from netgeo.llm import decontamination, jaccard, language, licenses, packing, pii, substring_dedup, token_counts, url_filter
 from netgeo.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -41,9 +41,13 @@ def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.dedup(table(spark, sf_dir, "documents")).drop("removed")
 
 
+def op8_pii_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.redact(table(spark, sf_dir, "documents"))
+
+
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_license_scans, op3_best_fit_packing, op4_benchmark_decontamination, op5_language_id, op6_token_counts, op7_substring_dedup, op10_ngram_jaccard_join)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_license_scans, op3_best_fit_packing, op4_benchmark_decontamination, op5_language_id, op6_token_counts, op7_substring_dedup, op8_pii_pseudonyms, op10_ngram_jaccard_join)}
 ORACLES: dict[str, str] = {}
