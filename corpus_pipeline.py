@@ -1,25 +1,67 @@
-"""The corpus pipeline: documents in, packed training sequences out."""
+"""The corpus pipeline: documents in, packed training sequences out.
+
+Every stage reads all that its predecessor kept; all but the last return the
+columns of documents.  Texts that are null, repeated rows and empty tables go
+through each stage as its operator defines.
+"""
 
 from __future__ import annotations
 
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from netgeo.llm import packing
+from netgeo.llm import decontamination, jaccard, language, packing, pii
 from netgeo.llm.queries import WORD_BPE
 from netgeo.session import ensure_checkpoint_dir
 
 
+def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any word of a language go (null, empty, no letter).
+    The model learns from the labelled documents themselves."""
+    labelled = language.label_spans(docs, language.learn_by_contract(docs))
+    kept = labelled.where(F.col("lang_pred") != language.UND).select("doc_id").distinct()
+    # the key decides for rows that repeat it, so a row without text goes by itself
+    return docs.join(kept, "doc_id", "left_semi").where(F.col("text").isNotNull()).select(*docs.columns)
+
+
+def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the document with the smallest id stays,
+    once; a document that links with nothing stays."""
+    linked = jaccard.link(docs)
+    kept = linked.where("doc_id = component_id").select("doc_id").distinct()
+    return docs.dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi").select(*docs.columns)
+
+
+def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a test item go."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    leaks = decontamination.find_leaks(docs, items).select("doc_id").distinct()
+    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+
+
+def pii_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Personal data is replaced in every text; n_chars follows the text."""
+    out = pii.pseudonymize(docs).drop("_kinds")
+    return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
+
+
 def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document kept so far, packed whole into sequences."""
     return packing.pack(docs, WORD_BPE)
 
 
-STAGES = [("best_fit_packing", best_fit_packing)]
+STAGES = [
+    ("language_id", language_id),
+    ("ngram_jaccard", ngram_jaccard),
+    ("benchmark_decontamination", benchmark_decontamination),
+    ("pii_pseudonyms", pii_pseudonyms),
+    ("best_fit_packing", best_fit_packing),
+]
 
 #: Language models, token ids and keyed permutations are not SQL; tests hold
-#: each stage against a brute-force version.
+#: the stages against brute-force versions.
 ORACLE_SQL = None
 
 
