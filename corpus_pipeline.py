@@ -20,30 +20,23 @@ from netgeo.session import ensure_checkpoint_dir
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any word of a language go (null, empty, no letter).
     The model learns from the labelled documents themselves."""
-    labelled = language.label_spans(docs, language.learn_by_contract(docs))
-    kept = labelled.where(F.col("lang_pred") != language.UND).select("doc_id").distinct()
-    # the key decides for rows that repeat it, so a row without text goes by itself
-    return docs.join(kept, "doc_id", "left_semi").where(F.col("text").isNotNull()).select(*docs.columns)
+    return language.keep_known(docs, language.learn_by_contract(docs))
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays,
-    once; a document that links with nothing stays."""
-    linked = jaccard.link(docs)
-    kept = linked.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """Of each group of near copies the document with the smallest id stays;
+    a document that links with nothing stays."""
+    return jaccard.keep_one(docs)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a test item go."""
-    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    leaks = decontamination.find_leaks(docs, items).select("doc_id").distinct()
-    return docs.join(leaks, "doc_id", "left_anti").select(*docs.columns)
+    return decontamination.drop_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
 def pii_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced in every text; n_chars follows the text."""
-    out = pii.pseudonymize(docs).drop("_kinds")
+    out = pii.pseudonymize(docs)
     return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 

@@ -19,6 +19,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, lengthened until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder of ``spark.checkpoint.dir``
     and read back: lineage ends there, and every later reader sees one version
@@ -44,7 +52,3 @@ def runs(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = RUN
                 start, held = i, 0
             held += size
         yield batch.slice(start)
-
-
-def batch_of(schema: pa.Schema, **columns) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(columns[f.name], f.type) for f in schema], schema=schema)

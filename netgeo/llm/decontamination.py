@@ -34,8 +34,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from netgeo.llm.common import runs
+from netgeo.llm.common import runs, saved
 from netgeo.llm.licenses import words as plain_words
 
 K1, B = 1.2, 0.75
@@ -147,13 +148,11 @@ class Index:
         return out
 
 
-def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
-               threshold: float = THRESHOLD, overlap: float = OVERLAP, answer_overlap: float = ANSWER_OVERLAP,
-               max_index_words: int = MAX_INDEX_WORDS) -> DataFrame:
-    """key, item, score, overlap, answer_overlap and first_word of every leaked
-    item of every document; clean documents give no row."""
+def indexes(items: DataFrame, item: str = "item_id", item_text: str = "text", threshold: float = THRESHOLD,
+            max_index_words: int = MAX_INDEX_WORDS) -> list[Index]:
+    """The index of all items, in shards of about ``max_index_words`` words;
+    idf and lengths are those of all items."""
     items = items.select(F.col(item).alias("item"), F.col(item_text).alias("text"))
-    kind, item_kind = docs.schema[key].dataType.simpleString(), items.schema["item"].dataType.simpleString()
 
     def terms(batches):
         for batch in runs(batches):
@@ -162,18 +161,29 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([pa.array([b"", *df], pa.binary()), pa.array([sum(bool(t) for t in own), *df.values()], pa.int64()),
                                               pa.array([sum(map(len, own)), *[0] * len(df)], pa.int64())], names=["term", "n", "words"])
 
-    df = (items.select("text").mapInArrow(terms, "term binary, n bigint, words bigint").groupBy("term")
-          .agg(F.sum("n").alias("n"), F.sum("words").alias("words")).cache())
+    df = saved(items.select("text").mapInArrow(terms, "term binary, n bigint, words bigint").groupBy("term")
+               .agg(F.sum("n").alias("n"), F.sum("words").alias("words")), "terms")
     total = df.where("term = X''").first()
     n_items, n_words = (total["n"], total["words"]) if total else (0, 0)
     shards = -(-n_words // max_index_words)
-    found = docs.sparkSession.createDataFrame([], f"`{key}` {kind}, `{item}` {item_kind}, score double, overlap double, answer_overlap double, first_word bigint")
-    item_type = pa.int64() if item_kind == "bigint" else pa.string()
+    out = []
     for shard in range(shards):
         part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(shards)) == shard).collect()  # max_index_words words or so
         known = {w for r in part for w in words(r["text"])}
         documents = {bytes(r["term"]): r["n"] for r in df.where("term <> X''").toLocalIterator() if bytes(r["term"]) in known}
-        index = Index([(r["item"], r["text"]) for r in part], documents, n_items, n_words / max(n_items, 1), threshold)
+        out.append(Index([(r["item"], r["text"]) for r in part], documents, n_items, n_words / max(n_items, 1), threshold))
+    return out
+
+
+def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item: str = "item_id", item_text: str = "text",
+               threshold: float = THRESHOLD, overlap: float = OVERLAP, answer_overlap: float = ANSWER_OVERLAP,
+               max_index_words: int = MAX_INDEX_WORDS) -> DataFrame:
+    """key, item, score, overlap, answer_overlap and first_word of every leaked
+    item of every document; clean documents give no row."""
+    kind, item_kind = docs.schema[key].dataType.simpleString(), items.schema[item].dataType.simpleString()
+    found = docs.sparkSession.createDataFrame([], f"`{key}` {kind}, `{item}` {item_kind}, score double, overlap double, answer_overlap double, first_word bigint")
+    item_type = to_arrow_type(items.schema[item].dataType)
+    for index in indexes(items, item, item_text, threshold, max_index_words):
 
         def search(batches, index=index):
             for batch in runs(batches):
@@ -190,3 +200,19 @@ def find_leaks(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str
         found = found.unionByName(docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(search, found.schema))
     best = F.max(F.struct("score", "overlap", "answer_overlap", "first_word")).alias("best")
     return found.groupBy(key, item).agg(best).select(key, item, "best.*")
+
+
+def drop_leaks(docs: DataFrame, items: DataFrame, text: str = "text", item: str = "item_id", item_text: str = "text",
+               threshold: float = THRESHOLD, overlap: float = OVERLAP, answer_overlap: float = ANSWER_OVERLAP,
+               max_index_words: int = MAX_INDEX_WORDS) -> DataFrame:
+    """The rows, with all their columns, that hold no test item; rows pass
+    through the tasks and are neither joined nor shuffled."""
+    at = docs.columns.index(text)
+    for index in indexes(items, item, item_text, threshold, max_index_words):
+
+        def clean(batches, index=index):
+            for batch in runs(batches, text):
+                yield batch.filter(pa.array([not index.leaks(t, overlap, answer_overlap) for t in batch.column(at).to_pylist()], pa.bool_()))
+
+        docs = docs.mapInArrow(clean, docs.schema)
+    return docs

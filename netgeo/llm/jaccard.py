@@ -38,10 +38,10 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from netgeo.llm.common import runs, saved
+from netgeo.llm.common import free_name, runs, saved
 from netgeo.llm.components import components
 from netgeo.llm.repeats import BLOCK_BYTES, answered, blocks, mix
 
@@ -150,18 +150,20 @@ def _class_of(s: np.ndarray) -> bytes:
 
 
 def describe(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
-    """key, n_shingles, class (equal for equal sets) and smallest hash of every row."""
+    """key, digest of the text, n_shingles, class (equal for equal sets) and
+    smallest hash of every row."""
     kind = docs.schema[key].dataType.simpleString()
 
     def described(batches):
         for batch in runs(batches):
-            sets = shingle_sets(batch.column(1).to_pylist(), width)
+            sets = shingle_sets(batch.column(2).to_pylist(), width)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class_of(s) for s in sets], pa.binary()),
+                [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array([_class_of(s) for s in sets], pa.binary()),
                  pa.array([int(mix(s ^ _S2).min() >> np.uint64(1)) if len(s) else None for s in sets], pa.int64())],
-                names=["key", "n_shingles", "class", "least"])
+                names=["key", "digest", "n_shingles", "class", "least"])
 
-    return docs.select(F.col(key).alias("key"), F.col(text).alias("text")).mapInArrow(described, f"key {kind}, n_shingles bigint, class binary, least bigint")
+    rows = docs.select(F.col(key).alias("key"), F.xxhash64(text).alias("digest"), F.col(text).alias("text"))
+    return rows.mapInArrow(described, f"key {kind}, digest bigint, n_shingles bigint, class binary, least bigint")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
@@ -221,7 +223,8 @@ def _link(members: DataFrame, sets: DataFrame, num: int, den: int, star_rounds:
 
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, num: int = NUM, den: int = DEN,
          star_rounds: int = STAR_ROUNDS, block_bytes: int = BLOCK_BYTES, pairs: int | None = None) -> DataFrame:
-    """key, n_shingles and component_id (the smallest key reachable) of every row."""
+    """key, n_shingles, component_id (the smallest key reachable) and digest
+    (xxhash64 of the text) of every row."""
     rows = saved(describe(docs, key, text, width), "described")
     classes = rows.where("key is not null and n_shingles > 0").groupBy("class").agg(F.min("key").alias("id"), F.first("n_shingles").alias("n"), F.first("least").alias("least"))
     classes = saved(classes, "classes")
@@ -270,4 +273,15 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
         ids = ids.join(found, "id", "left").select("class", F.coalesce("component", "id").alias("id"))
     out = rows.join(ids, "class", "left")
     component = F.when(F.col("n_shingles") > 0, F.col("id")).otherwise(F.col("key"))
-    return out.select(F.col("key").alias(key), "n_shingles", F.when(F.col("key").isNotNull(), component).alias("component_id"))
+    return out.select(F.col("key").alias(key), "n_shingles", F.when(F.col("key").isNotNull(), component).alias("component_id"), "digest")
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """One row of each group that links, the one with the smallest key (rows
+    that repeat it: one of them); rows without a key stay."""
+    k, d, nth = (free_name(docs, x) for x in ("_key", "_digest", "_nth"))
+    first = (link(docs, key, text, **options).where("component_id is not null").groupBy("component_id")
+             .agg(F.min(F.struct(F.col(key).alias(k), F.col("digest").alias(d))).alias("first")).select("first.*"))
+    rows = docs.where(F.col(key).isNotNull()).withColumn(k, F.col(key)).withColumn(d, F.xxhash64(text)).join(first, [k, d], "left_semi")
+    rows = rows.withColumn(nth, F.row_number().over(Window.partitionBy(k, d).orderBy(k))).where(F.col(nth) == 1)
+    return rows.select(*docs.columns).unionByName(docs.where(F.col(key).isNull()))

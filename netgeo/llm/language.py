@@ -169,6 +169,36 @@ def _viterbi(scores: np.ndarray, begin: np.ndarray, length: np.ndarray, switch:
     return label
 
 
+def _predict(texts: list[str | None], model: Model, letters: _Letters, switch: float, with_spans: bool = True):
+    """Language number (one past the last for none), share of the words and spans of each text."""
+    n, n_langs = len(texts), len(model.languages)
+    pred, score = np.full(n, n_langs), np.zeros(n)
+    codes, first, stop, doc, begin = _read(texts, letters)
+    spans: list[list] = [[] for _ in range(n)]
+    if not len(first) or not n_langs:
+        return pred, score, spans
+    at = np.flatnonzero(codes)
+    total = np.zeros((len(at), n_langs), np.float32)
+    for g in _grams(codes, at):
+        total += model.scores[g]
+    words = np.add.reduceat(total, np.searchsorted(at, first), axis=0)
+    words -= words.max(axis=1, keepdims=True)
+    words += np.where(model.allowed[letters.script[codes[first]]], 0, OTHER_SCRIPT).astype(np.float32)
+    length = np.bincount(doc, minlength=n)
+    label = _viterbi(words, np.cumsum(length) - length, length, switch)
+    votes = np.bincount(doc * n_langs + label, minlength=n * n_langs).reshape(n, n_langs)
+    some = length > 0
+    pred[some] = votes[some].argmax(axis=1)
+    score[some] = votes[some].max(axis=1) / length[some]
+    if with_spans:
+        new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (label[1:] != label[:-1])]))
+        last = np.concatenate([new[1:], [len(doc)]]) - 1
+        for d, a, b, w, x in zip(doc[new].tolist(), (first[new] - begin[doc[new]]).tolist(), (stop[last] - begin[doc[new]]).tolist(),
+                                 (last - new + 1).tolist(), label[new].tolist()):
+            spans[d].append({"start": a, "end": b, "words": w, "lang": model.languages[x]})
+    return pred, score, spans
+
+
 def label_spans(docs: DataFrame, model: Model, key: str = "doc_id", text: str = "text", switch: float = SWITCH) -> DataFrame:
     """key, lang_pred (the language with most words), score (its share of the
     words) and spans: first and last character (from 0, of the lower-cased
@@ -182,30 +212,7 @@ def label_spans(docs: DataFrame, model: Model, key: str = "doc_id", text: str =
     def labelled(batches):
         letters = _Letters()
         for batch in runs(batches, "text", RUN):
-            texts = batch.column(1).to_pylist()
-            n, n_langs = len(texts), len(model.languages)
-            pred, score = np.full(n, n_langs), np.zeros(n)
-            codes, first, stop, doc, begin = _read(texts, letters)
-            spans: list[list] = [[] for _ in range(n)]
-            if len(first) and n_langs:
-                at = np.flatnonzero(codes)
-                total = np.zeros((len(at), n_langs), np.float32)
-                for g in _grams(codes, at):
-                    total += model.scores[g]
-                words = np.add.reduceat(total, np.searchsorted(at, first), axis=0)
-                words -= words.max(axis=1, keepdims=True)
-                words += np.where(model.allowed[letters.script[codes[first]]], 0, OTHER_SCRIPT).astype(np.float32)
-                length = np.bincount(doc, minlength=n)
-                label = _viterbi(words, np.cumsum(length) - length, length, switch)
-                votes = np.bincount(doc * n_langs + label, minlength=n * n_langs).reshape(n, n_langs)
-                some = length > 0
-                pred[some] = votes[some].argmax(axis=1)
-                score[some] = votes[some].max(axis=1) / length[some]
-                new = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (label[1:] != label[:-1])]))
-                last = np.concatenate([new[1:], [len(doc)]]) - 1
-                for d, a, b, w, l in zip(doc[new].tolist(), (first[new] - begin[doc[new]]).tolist(), (stop[last] - begin[doc[new]]).tolist(),
-                                         (last - new + 1).tolist(), label[new].tolist()):
-                    spans[d].append({"start": a, "end": b, "words": w, "lang": model.languages[l]})
+            pred, score, spans = _predict(batch.column(1).to_pylist(), model, letters, switch)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[pred].tolist(), pa.string()), pa.array(score, pa.float64()),
                                               pa.array(spans, span_type)], names=[key, "lang_pred", "score", "spans"])
 
@@ -213,6 +220,20 @@ def label_spans(docs: DataFrame, model: Model, key: str = "doc_id", text: str =
         labelled, f"`{key}` {kind}, lang_pred string, score double, spans array<struct<start:bigint,end:bigint,words:bigint,lang:string>>")
 
 
+def keep_known(docs: DataFrame, model: Model, text: str = "text", switch: float = SWITCH) -> DataFrame:
+    """The rows, with all their columns, whose text has a language; rows pass
+    through the tasks and are neither joined nor shuffled."""
+    at = docs.columns.index(text)
+
+    def kept(batches):
+        letters = _Letters()
+        for batch in runs(batches, text, RUN):
+            pred, _, _ = _predict(batch.column(at).to_pylist(), model, letters, switch, with_spans=False)
+            yield batch.filter(pa.array(pred < len(model.languages), pa.bool_()))
+
+    return docs.mapInArrow(kept, docs.schema)
+
+
 def held_out(key: str = "doc_id") -> Column:
     """Rows that are never learned from."""
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 3 == 1, F.lit(False))

@@ -15,9 +15,8 @@ with the key, and equal values get equal pseudonyms in every document.
   themselves without any walk.
 
 Defined cases: null text stays null with no findings; empty text stays empty;
-keys may be null or repeat, each row is treated by itself; other columns of
-the input are kept only by ``pseudonymize``; an empty table gives an empty
-result.  A candidate that fails its check stays as it is, unless a later kind
+keys may be null or repeat, each row is treated by itself; ``pseudonymize``
+keeps all other columns; an empty table gives an empty result.  A candidate that fails its check stays as it is, unless a later kind
 claims it.
 """
 
@@ -26,6 +25,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from netgeo.llm.common import free_name
+
 KEY = "netgeo-pseudonyms-1"
 ROUNDS = 8
 DIGITS = "0123456789"
@@ -217,20 +218,24 @@ def pseudonym(m: Column, key: str = KEY, undo: bool = False) -> Column:
     return out.otherwise(F.struct(F.lit(None).cast("string").alias("kind"), m.alias("new")))
 
 
-def pseudonymize(docs: DataFrame, text: str = "text", key: str = KEY, undo: bool = False) -> DataFrame:
-    """The input with its text replaced, and ``_kinds``: what was replaced, in
-    the order of the text.  The name ``_kinds`` must be free in the input."""
+def pseudonymize(docs: DataFrame, text: str = "text", key: str = KEY, undo: bool = False, kinds: str | None = None) -> DataFrame:
+    """The input with its text replaced; ``kinds`` names a column to add: what
+    was replaced, in the order of the text."""
+    if kinds and free_name(docs, kinds) != kinds:
+        raise ValueError(f"the input has a column {kinds} already")
+    held = free_name(docs, kinds or "_kinds")
     own = F.col(f"`{text}`")
     some = own.rlike("[0-9@]|password|secret|token|key")
     found = F.when(some, F.regexp_extract_all(own, F.lit(ANY), F.lit(0)))
-    rows = docs.withColumn("_kinds", F.transform(found, lambda m: pseudonym(m, key, undo)))
-    pieces = F.split(own, ANY, -1)
-    joined = F.array_join(F.zip_with(pieces, F.concat(F.transform("_kinds", lambda x: x["new"]), F.array(F.lit(""))), lambda p, m: F.concat(p, m)), "")
-    return (rows.withColumn(text, F.when(F.size("_kinds") > 0, joined).otherwise(own))
-            .withColumn("_kinds", F.coalesce(F.filter(F.transform("_kinds", lambda x: x["kind"]), lambda k: k.isNotNull()), F.array().cast("array<string>"))))
+    rows = docs.withColumn(held, F.transform(found, lambda m: pseudonym(m, key, undo)))
+    new = F.concat(F.transform(held, lambda x: x["new"]), F.array(F.lit("")))
+    joined = F.array_join(F.zip_with(F.split(own, ANY, -1), new, lambda p, m: F.concat(p, m)), "")
+    names = F.filter(F.transform(held, lambda x: x["kind"]), lambda k: k.isNotNull())
+    rows = rows.withColumn(text, F.when(F.size(held) > 0, joined).otherwise(own))
+    return rows.withColumn(held, F.coalesce(names, F.array().cast("array<string>"))) if kinds else rows.drop(held)
 
 
 def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", secret: str = KEY) -> DataFrame:
     """key, text, n_found and kinds (distinct, sorted, comma-joined) of every row."""
-    out = pseudonymize(docs.select(F.col(key), F.col(text)), text, secret)
-    return out.select(key, text, F.size("_kinds").alias("n_found"), F.array_join(F.array_sort(F.array_distinct("_kinds")), ",").alias("kinds"))
+    out = pseudonymize(docs.select(F.col(key), F.col(text)), text, secret, kinds="found")
+    return out.select(key, text, F.size("found").alias("n_found"), F.array_join(F.array_sort(F.array_distinct("found")), ",").alias("kinds"))
