@@ -4,14 +4,15 @@
    into pieces of the capacity, the last piece may be shorter.
 2. The plan needs no documents, only how many pieces have each length, so at
    most ``capacity`` numbers reach the driver whatever the corpus.
-   *Linear grouping*: pieces above ``capacity / small_part`` are dealt, longest
+   *Linear grouping*: pieces above a part of the capacity are dealt, longest
    first, to groups of equal cardinality, and each group's sizes are rounded up
    to its largest.  With so few sizes, *configurations* (how many of each size
    share a sequence) are chosen one by one, each the fullest that holds the
    largest size left, and used as often as its sizes last.  *Substitution*: the
    actual lengths take the slots of their group, which frees what rounding up
    took.  *Best fit*: the small pieces go, longest first, to the open sequence
-   they fill best.  Equal lengths move together, so a plan is a list of runs
+   they fill best.  This is done for several numbers of groups and several
+   bounds of small pieces, and the plan with fewest sequences counts.  Equal lengths move together, so a plan is a list of runs
    (length, ranks, sequences, offset) and not of documents.
 3. A piece's rank among those of its length picks its place.  Ranks are made
    of (length, hash bucket) groups, so a length that a third of all pieces has
@@ -27,6 +28,7 @@ from __future__ import annotations
 import zlib
 from bisect import bisect_left, insort
 from collections import deque
+from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +39,9 @@ from netgeo.llm.common import runs, saved
 from netgeo.llm.tokens import WordEncoder
 
 CAPACITY = 4096
-GROUPS = 32
-SMALL_PART = 8
+#: Every pair of these is planned, and the plan with fewest sequences is taken.
+GROUPS = (32, 128)
+SMALL_PARTS = (2, 3, 4, 8, 16)
 BUCKETS = 64
 
 
@@ -126,9 +129,14 @@ class _Plan:
             self.keep(room, first + n, there - n)
 
 
-def plan(lengths: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, small_part: int = SMALL_PART) -> list[tuple]:
+def plan(lengths: dict[int, int], capacity: int = CAPACITY, groups: Sequence[int] = GROUPS, small_parts: Sequence[int] = SMALL_PARTS) -> list[tuple]:
     """Runs (length, first rank, count, first sequence, offset) for so many
-    pieces of each length."""
+    pieces of each length, from the best of all settings."""
+    plans = (_planned(lengths, capacity, g, s) for g in groups for s in small_parts)
+    return min(plans, key=lambda p: p.sequences).runs
+
+
+def _planned(lengths: dict[int, int], capacity: int, groups: int, small_part: int) -> _Plan:
     p = _Plan(capacity)
     large = sorted(((n, c) for n, c in lengths.items() if n > capacity // small_part), reverse=True)
     each = max(1, -(-sum(c for _, c in large) // groups))
@@ -153,7 +161,7 @@ def plan(lengths: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS
             p.configured(use, times, dealt)
     for length, count in sorted(((n, c) for n, c in lengths.items() if n <= capacity // small_part), reverse=True):
         p.best_fit(length, count)
-    return p.runs
+    return p
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY, end_id: int = 1) -> DataFrame:
@@ -180,7 +188,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str
 
 
 def pack(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str = "text", capacity: int = CAPACITY,
-         groups: int = GROUPS, small_part: int = SMALL_PART, end_id: int = 1) -> DataFrame:
+         groups: Sequence[int] = GROUPS, small_parts: Sequence[int] = SMALL_PARTS, end_id: int = 1) -> DataFrame:
     """The pieces of every row with their sequence_id and offset there."""
     cut = saved(pieces(docs, tokenizer_path, key, text, capacity, end_id), "pieces")
     cut = cut.withColumn("_bucket", F.pmod(F.xxhash64(key, "piece", "ids_crc32"), F.lit(BUCKETS)))
@@ -190,7 +198,7 @@ def pack(docs: DataFrame, tokenizer_path: str, key: str = "doc_id", text: str =
         base[r["length"], r["_bucket"]] = r["count"]
     total = base.sum(axis=1)
     base = np.cumsum(base, axis=1) - base
-    table = np.array(sorted(plan({n: int(c) for n, c in enumerate(total) if c}, capacity, groups, small_part)), np.int64).reshape(-1, 5)
+    table = np.array(sorted(plan({n: int(c) for n, c in enumerate(total) if c}, capacity, groups, small_parts)), np.int64).reshape(-1, 5)
     wide = np.int64(2 ** 45)
     starts = table[:, 0] * wide + table[:, 1]
 
