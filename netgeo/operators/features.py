@@ -102,8 +102,7 @@ def term_counts(docs: DataFrame, id_col: str, text_col: str, n_max: int = 2) ->
     """(id, term, tf): one row per distinct term of a document."""
     # tokens first, as their own column: the n-gram expression reads the token
     # array several times and must not re-run the regex for each read
-    from netgeo.session import spread
-    toks = spread(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text"))) \
+    toks = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("_text")) \
         .select("doc_id", tokens("_text").alias("_t"))
     t = toks.select("doc_id", F.explode(with_ngrams("_t", n_max)).alias("term"))
     return t.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
@@ -185,10 +184,10 @@ def standardize(df: DataFrame, params: dict[str, tuple[float, float]]) -> DataFr
 
 def label_index(df: DataFrame, label: str, out: str = "label_index"):
     """M9: sorted distinct labels -> 0..k-1 (``StringIndexer`` alphabetAsc).
-    Returns (indexed frame, labels list)."""
+    Returns (indexed frame, labels list); there is no class for other labels."""
     from pyspark.ml.feature import StringIndexer
     model = StringIndexer(inputCol=label, outputCol=out, stringOrderType="alphabetAsc",
-                          handleInvalid="keep").fit(df)
+                          handleInvalid="error").fit(df)
     return model.transform(df).withColumn(out, F.col(out).cast("int")), list(model.labels)
 
 

@@ -15,15 +15,28 @@ Identical ranges are collapsed first (keeping the lowest ``range_id``, which is
 also the tie winner), so duplicate rows cannot blow up a block, and repeated
 query IPs are collapsed before the join, so a hot IP costs one row.
 
+At wide levels there are few blocks, so one wide range would meet all queries
+in a few keys: from ``WIDE_LEVEL`` on, query values are dealt over ``SALTS``
+salts and the (few, distinct) wide ranges are repeated for each.  Rows without
+a key (invalid or unmatched IPs) get one of their own before an outer join, so
+they spread over all tasks.
+
 The nearest-range join (J3) is an as-of join on the boundary values, computed
 per /16 block with a window whose partitions are bounded by construction
-(at most 2^16 distinct values of each side), plus a carry from neighbouring
-blocks taken from a per-block summary of at most 2^16 rows.
+(at most 2^16 distinct values of each side, since bounds outside IPv4 take no
+part), plus a carry from neighbouring blocks taken from a per-block summary of
+at most 2^16 rows.  Every frame ends at the current row, so a window is linear
+in its rows: the next boundary is the last one seen in descending order.
+
+``prepare_lookup`` does once what every lookup needs from the range table, for
+callers that look up many batches.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -31,6 +44,30 @@ from netgeo.functions.ipfn import with_ip_parsed
 from netgeo.session import materialize
 
 NEAREST_BLOCK_BITS = 16
+WIDE_LEVEL = 18
+SALTS = 64
+MAX_IPV4 = (1 << 32) - 1
+
+
+@dataclass
+class PreparedLookup:
+    """The range side of the interval join, its levels and the boundaries."""
+    ranges: DataFrame
+    levels: list[int]
+    boundaries: DataFrame
+
+
+def prepare_lookup(lookup: DataFrame) -> PreparedLookup:
+    """Written once to the shared checkpoint folder; pass it wherever a lookup
+    table is taken, e.g. for every micro-batch of a stream."""
+    ranges = materialize(_range_side(lookup))
+    return PreparedLookup(ranges, _levels(ranges), materialize(_boundaries(lookup)))
+
+
+def _own_key(df: DataFrame, key: str) -> Column:
+    """``key``, or a negative number of the row's own where it is NULL: outer
+    joins on it match nothing for such rows and deal them over all tasks."""
+    return F.coalesce(F.col(key), -1 - F.pmod(F.xxhash64(*df.columns), F.lit(1 << 40)))
 
 
 # --------------------------------------------------------------------------- J1/J2
@@ -46,7 +83,8 @@ def _range_side(lookup: DataFrame) -> DataFrame:
     lvl = F.when(size == 1, F.lit(0)).otherwise(F.length(F.bin(size - 1)))
     r = r.select("range_id", "ip_from", "ip_to", size.alias("size"), lvl.cast("int").alias("lvl"))
     blocks = F.array_distinct(F.array(F.expr("ip_from >> lvl"), F.expr("ip_to >> lvl")))
-    return r.select("*", F.explode(blocks).alias("blk"))
+    salts = F.sequence(F.lit(0), F.when(F.col("lvl") >= WIDE_LEVEL, F.lit(SALTS - 1)).otherwise(F.lit(0)))
+    return r.select("*", F.explode(blocks).alias("blk")).select("*", F.explode(salts).alias("salt"))
 
 
 def _levels(range_side: DataFrame) -> list[int]:
@@ -55,25 +93,29 @@ def _levels(range_side: DataFrame) -> list[int]:
     return sorted(r[0] for r in range_side.select("lvl").distinct().collect())
 
 
-def containing_ranges(values: DataFrame, lookup: DataFrame, value_col: str = "v") -> DataFrame:
+def containing_ranges(values: DataFrame, lookup: DataFrame | PreparedLookup, value_col: str = "v") -> DataFrame:
     """All (v, range_id, size) with ip_from <= v <= ip_to, via the level/block equi join.
 
     ``values`` must already be distinct on ``value_col``.
     """
-    rs = _range_side(lookup)
-    levels = _levels(rs)
+    if isinstance(lookup, PreparedLookup):
+        rs, levels = lookup.ranges, lookup.levels
+    else:
+        rs = _range_side(lookup)
+        levels = _levels(rs)
     if not levels:
         return values.select(F.col(value_col).alias("v")).limit(0).select(
             "v", F.lit(None).cast("bigint").alias("range_id"), F.lit(None).cast("bigint").alias("size"))
     q = values.select(F.col(value_col).alias("v"),
                       F.explode(F.array(*[F.lit(l) for l in levels])).alias("lvl"))
-    q = q.select("v", "lvl", F.expr("v >> lvl").alias("blk"))
-    j = q.join(rs, on=["lvl", "blk"], how="inner").filter(
+    salt = F.when(F.col("lvl") >= WIDE_LEVEL, F.pmod(F.xxhash64("v"), F.lit(SALTS)).cast("int")).otherwise(F.lit(0))
+    q = q.select("v", "lvl", F.expr("v >> lvl").alias("blk"), salt.alias("salt"))
+    j = q.join(rs, on=["lvl", "blk", "salt"], how="inner").filter(
         (F.col("ip_from") <= F.col("v")) & (F.col("v") <= F.col("ip_to")))
     return j.select("v", "range_id", "size")
 
 
-def best_range(values: DataFrame, lookup: DataFrame, rule: str = "most_specific",
+def best_range(values: DataFrame, lookup: DataFrame | PreparedLookup, rule: str = "most_specific",
                value_col: str = "v") -> DataFrame:
     """(v, range_id) of the chosen containing range per distinct value.
 
@@ -109,7 +151,8 @@ def lookup_ranges(queries: DataFrame, lookup: DataFrame, rule: str = "most_speci
     pq = parse_queries(queries, ip_col)
     values = pq.select(F.col("ip_num").alias("v")).filter(F.col("v").isNotNull()).distinct()
     best = best_range(values, lookup, rule)
-    return pq.join(best.withColumnRenamed("v", "ip_num"), on="ip_num", how="left")
+    keyed = pq.withColumn("_key", _own_key(pq, "ip_num"))
+    return keyed.join(best.withColumnRenamed("v", "_key"), on="_key", how="left").drop("_key")
 
 
 # --------------------------------------------------------------------------- J3
@@ -119,14 +162,15 @@ def _boundaries(lookup: DataFrame) -> DataFrame:
     lk = lookup.filter(F.col("ip_from").isNotNull() & F.col("ip_to").isNotNull())
     both = (lk.select(F.col("ip_from").alias("b"), "range_id")
             .unionByName(lk.select(F.col("ip_to").alias("b"), "range_id")))
-    return both.groupBy("b").agg(F.min("range_id").alias("rid"))
+    return both.filter(F.col("b").between(0, MAX_IPV4)).groupBy("b").agg(F.min("range_id").alias("rid"))
 
 
-def nearest_range(values: DataFrame, lookup: DataFrame, value_col: str = "v") -> DataFrame:
+def nearest_range(values: DataFrame, lookup: DataFrame | PreparedLookup, value_col: str = "v") -> DataFrame:
     """(v, range_id, distance) of the range whose nearer bound is closest to v;
     ties go to the lowest range_id.  ``values`` must be distinct."""
     bits = NEAREST_BLOCK_BITS
-    bnd = _boundaries(lookup).select(
+    bounds = lookup.boundaries if isinstance(lookup, PreparedLookup) else _boundaries(lookup)
+    bnd = bounds.select(
         F.shiftright("b", bits).alias("blk"), F.col("b").alias("val"), "rid",
         F.lit(0).alias("is_q"))
     qs = values.select(F.col(value_col).alias("val")).select(
@@ -134,11 +178,11 @@ def nearest_range(values: DataFrame, lookup: DataFrame, value_col: str = "v") ->
         F.lit(1).alias("is_q"))
     u = bnd.unionByName(qs)
     cand = F.when(F.col("is_q") == 0, F.struct(F.col("val").alias("b"), "rid"))
-    w = Window.partitionBy("blk").orderBy("val", "is_q")
-    left = F.last(cand, ignorenulls=True).over(
-        w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    right = F.first(cand, ignorenulls=True).over(
-        w.rowsBetween(Window.currentRow, Window.unboundedFollowing))
+    so_far = (Window.unboundedPreceding, Window.currentRow)
+    up = Window.partitionBy("blk").orderBy("val", "is_q").rowsBetween(*so_far)
+    down = Window.partitionBy("blk").orderBy(F.desc("val"), "is_q").rowsBetween(*so_far)
+    left = F.last(cand, ignorenulls=True).over(up)
+    right = F.last(cand, ignorenulls=True).over(down)
     inb = (u.select("blk", "val", "is_q", left.alias("lft"), right.alias("rgt"))
            .filter(F.col("is_q") == 1))
 
@@ -152,11 +196,12 @@ def nearest_range(values: DataFrame, lookup: DataFrame, value_col: str = "v") ->
         F.lit(None).cast(summ.schema["lo"].dataType).alias("lo"))
     allb = summ.unionByName(qblk)
     # Range frames on the block number: strictly lower / strictly higher blocks.
-    ws = Window.orderBy("blk")  # bounded summary: at most 2 * 2^16 rows
+    # bounded summary: at most 2 * 2^16 rows
+    before = (Window.unboundedPreceding, -1)
     carry = (allb.select(
         "blk",
-        F.last("hi", ignorenulls=True).over(ws.rangeBetween(Window.unboundedPreceding, -1)).alias("c_lft"),
-        F.first("lo", ignorenulls=True).over(ws.rangeBetween(1, Window.unboundedFollowing)).alias("c_rgt"))
+        F.last("hi", ignorenulls=True).over(Window.orderBy("blk").rangeBetween(*before)).alias("c_lft"),
+        F.last("lo", ignorenulls=True).over(Window.orderBy(F.desc("blk")).rangeBetween(*before)).alias("c_rgt"))
         .groupBy("blk").agg(F.first("c_lft", ignorenulls=True).alias("c_lft"),
                             F.first("c_rgt", ignorenulls=True).alias("c_rgt")))
     j = inb.join(F.broadcast(carry), on="blk", how="left")
@@ -175,7 +220,7 @@ def nearest_range(values: DataFrame, lookup: DataFrame, value_col: str = "v") ->
 
 # --------------------------------------------------------------------------- J4
 
-def resolve(queries: DataFrame, lookup: DataFrame, mode: str = "nearest",
+def resolve(queries: DataFrame, lookup: DataFrame | PreparedLookup, mode: str = "nearest",
             ip_col: str = "ip") -> DataFrame:
     """Exact -> nearest -> IP-only.
 
@@ -200,7 +245,8 @@ def resolve(queries: DataFrame, lookup: DataFrame, mode: str = "nearest",
         per_v = exact.join(near, on="v", how="full")
     else:
         per_v = exact.select("v", "exact_id", F.lit(None).cast("bigint").alias("near_id"))
-    j = pq.join(per_v.withColumnRenamed("v", "ip_num"), on="ip_num", how="left")
+    j = (pq.withColumn("_key", _own_key(pq, "ip_num"))
+         .join(per_v.withColumnRenamed("v", "_key"), on="_key", how="left").drop("_key"))
     valid = F.col("ip_num").isNotNull()
     kind = (F.when(~valid, F.lit(None).cast("string"))
             .when(F.col("exact_id").isNotNull(), "exact")
@@ -225,7 +271,8 @@ def attach_record(resolved: DataFrame, lookup: DataFrame, cols: list[str] | None
     """Join the chosen range's columns onto resolved rows (range_id is unique)."""
     cols = cols or [c for c in lookup.columns if c != "range_id"]
     rec = lookup.select("range_id", *[F.col(c).alias(prefix + c) for c in cols])
-    return resolved.join(rec, on="range_id", how="left")
+    keyed = resolved.withColumn("_key", _own_key(resolved, "range_id"))
+    return keyed.join(rec.withColumnRenamed("range_id", "_key"), on="_key", how="left").drop("_key")
 
 
 # --------------------------------------------------------------------------- J5
@@ -260,14 +307,7 @@ def ip_only_features(resolved_with_record: DataFrame, synthetic_flags: bool = Fa
     )
 
 
-# --------------------------------------------------------------------------- J7/J9
-
-def attach_counts(df: DataFrame, key: str, name: str) -> DataFrame:
-    """Per-key row count attached to every row (aggregate + join; a hot key
-    is pre-aggregated map-side and the join is split by AQE skew handling)."""
-    counts = df.groupBy(key).agg(F.count(F.lit(1)).alias(name))
-    return df.join(counts, on=key, how="left")
-
+# --------------------------------------------------------------------------- J9
 
 def reference_points(resolved_with_record: DataFrame, centroids: DataFrame) -> DataFrame:
     """Commercial point = matched range's lat/lon; whois point = the centroid

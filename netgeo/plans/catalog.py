@@ -715,9 +715,6 @@ def q_compare_models(spark, sf_dir):
 # Model outputs depend on MLlib's solvers, so these have no SQL oracle; their
 # pytest checks assert they beat the majority-class baseline and are stable.
 
-BOOST_ROUNDS_CHECK = 5  # documented default is 400; the registered check uses 5
-
-
 @register("tree_predictions")
 def q_tree_predictions(spark, sf_dir):
     """E4-E6 + E10: decision trees for city, lat, lon, reachable on the test split."""
@@ -750,7 +747,7 @@ def q_rbf_predictions(spark, sf_dir):
 def q_boosted_predictions(spark, sf_dir):
     """One-vs-rest boosted trees with holdout early stopping."""
     from netgeo.plans import pipelines
-    return pipelines.boosted_predictions(split_frame(spark, sf_dir), rounds=BOOST_ROUNDS_CHECK)
+    return pipelines.boosted_predictions(split_frame(spark, sf_dir))
 
 
 @register("score_ips")

@@ -75,7 +75,7 @@ def knn_predictions(split: DataFrame, k: int = 7) -> DataFrame:
 
 # --------------------------------------------------------------------------- hashed LR
 
-def hashed_lr_predictions(raw: DataFrame, max_iter: int = 100) -> DataFrame:
+def hashed_lr_predictions(raw: DataFrame, max_iter: int = 1000) -> DataFrame:
     rows = hashed_text.training_rows(raw, 2)
     split = _split(rows.select("range_id", "city", "enhanced_text"), "city")
     train = split.filter(~F.col("is_test"))
@@ -83,7 +83,7 @@ def hashed_lr_predictions(raw: DataFrame, max_iter: int = 100) -> DataFrame:
     si, labels = models.index_labels(train, "city")
     tr = models.balanced_weights(si.transform(train), "city")
     model = models.fit_hashed_lr(tr, max_iter=max_iter)
-    scored = models.ovr_probabilities(model.transform(si.transform(test)))
+    scored = models.ovr_probabilities(model.transform(test))
     scored = models.top_class(scored, "probs", labels)
     return scored.select("range_id", F.col("city").alias("actual"), "predicted", "prob")
 
@@ -91,21 +91,19 @@ def hashed_lr_predictions(raw: DataFrame, max_iter: int = 100) -> DataFrame:
 # --------------------------------------------------------------------------- RBF (M11 + E2)
 
 def rbf_predictions(split: DataFrame, n_components: int = 300, gamma: float = 0.1,
-                    max_iter: int = 100) -> DataFrame:
-    from pyspark.ml.feature import StringIndexer
+                    max_iter: int = 2000) -> DataFrame:
     spec = features.MODEL_FEATURES["rbf"]
     train = split.filter(~F.col("is_test"))
     test = split.filter(F.col("is_test"))
     params = features.fit_mean_std(train, spec["numeric"])
-    cat_models = [StringIndexer(inputCol=c, outputCol=c + "__idx", stringOrderType="alphabetAsc",
-                                handleInvalid="keep").fit(train) for c in spec["categorical"]]
+    categories = materialize(models.train_categories(train, spec["categorical"]))
     si, labels = models.index_labels(train, LABEL)
 
     def prep(df):
-        x = models.rff_inputs(si.transform(df), params, cat_models)
+        x = models.rff_inputs(df, params, categories, spec["categorical"])
         return models.to_rff_vector(models.rff_transform(x, "rff_arr", n_components, gamma))
 
-    lr = models.train_rbf(materialize(prep(train).select("label_idx", "rff")), max_iter=max_iter)
+    lr = models.train_rbf(materialize(prep(si.transform(train)).select("label_idx", "rff")), max_iter=max_iter)
     scored = lr.transform(prep(test))
     probs = scored.withColumn("probs", vector_to_array("probability"))
     probs = models.top_class(probs, "probs", labels)
@@ -120,9 +118,10 @@ def boosted_predictions(split: DataFrame, rounds: int = 400) -> DataFrame:
                                 text_features=400, n_max=2)
     si, labels = models.index_labels(train, LABEL)
     # early stopping watches the held-out split, as the original training does
-    x = materialize(si.transform(pre.transform(split)).select(
+    # (rows of the held-out split whose label no training row has can't be watched)
+    x = materialize(si.setHandleInvalid("keep").transform(pre.transform(split)).select(
         "range_id", LABEL, "label_idx", "features", F.col("is_test").alias("is_val")))
-    ovr = models.train_boosted(x, len(labels), rounds=rounds)
+    ovr = models.train_boosted(x.filter(F.col("label_idx") < len(labels)), len(labels), rounds=rounds)
     scored = ovr.transform(x.filter(F.col("is_val")))
     scored = models.ovr_probabilities(scored, margin_scale=2.0)
     scored = models.top_class(scored, "probs", labels)

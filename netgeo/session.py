@@ -48,8 +48,9 @@ def get_spark(master: str | None = None, shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the session's checkpoint dir; create a scratch one only if unset.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used as
-    is.  Locally (tests) a fresh folder under /tmp is taken.
+    On a cluster ``spark.checkpoint.dir`` must name a shared folder and is used
+    as is; without it this raises.  Locally (tests) a fresh folder under /tmp
+    is taken.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -61,7 +62,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         conf_dir = None
     conf_dir = conf_dir or sc.getConf().get("spark.checkpoint.dir", None)
     if not conf_dir:
-        # only reached when the session names no shared folder (local tests)
+        if sc.master.split("[")[0] != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        # only reached when a local session names no folder (tests)
         conf_dir = tempfile.mkdtemp(prefix="netgeo-ckpt-", dir="/tmp")
         try:
             spark.conf.set("spark.checkpoint.dir", conf_dir)
@@ -81,14 +84,3 @@ def materialize(df):
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
-
-
-def spread(df):
-    """Round-robin a frame whose scan yields fewer partitions than the
-    cluster's parallelism (e.g. one large row group) before heavy per-row
-    work.  With many input splits - the normal case at scale - it is a no-op,
-    so no extra shuffle is added there."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
-        return df.repartition(par)
-    return df

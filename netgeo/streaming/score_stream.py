@@ -19,7 +19,10 @@ from netgeo.operators import lookup
 
 def resolve_batch_fn(lookup_df: DataFrame, sink: Callable[[DataFrame, int], None],
                      mode: str = "nearest", score: Callable[[DataFrame], DataFrame] | None = None):
-    """foreachBatch callback: resolve (and optionally score) one micro-batch."""
+    """foreachBatch callback: resolve (and optionally score) one micro-batch.
+    The lookup table is prepared once, not for every batch."""
+    lookup_df = lookup.prepare_lookup(lookup_df)
+
     def fn(batch: DataFrame, epoch_id: int) -> None:
         res = lookup.resolve(batch, lookup_df, mode)
         if score is not None:
@@ -30,10 +33,12 @@ def resolve_batch_fn(lookup_df: DataFrame, sink: Callable[[DataFrame, int], None
 
 def start_ip_stream(spark: SparkSession, source_dir: str, schema: str, lookup_df: DataFrame,
                     sink: Callable[[DataFrame, int], None], checkpoint: str,
-                    mode: str = "nearest", max_files_per_trigger: int = 1,
+                    mode: str = "nearest", max_files_per_trigger: int | None = None,
                     score: Callable[[DataFrame], DataFrame] | None = None):
     """Start the streaming query over parquet files of IPs in ``source_dir``."""
-    stream = (spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
-              .parquet(source_dir))
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
+    stream = reader.parquet(source_dir)
     return (stream.writeStream.foreachBatch(resolve_batch_fn(lookup_df, sink, mode, score))
             .option("checkpointLocation", checkpoint).start())
