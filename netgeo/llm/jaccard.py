@@ -22,7 +22,10 @@ B|``; then at most ``s * (den - num) / num`` tokens differ.
   other but with the group's centre, the member with most shared signatures;
   what links is joined into components, and groups whose members are all of
   one component are done.  After ``star_rounds`` the pairs still open, of
-  different components in one group, are all verified, so no link is lost.
+  different components in one group, are all looked at, so no link is lost.
+* *Sketches.*  Each token flips one of ``SKETCH_BITS`` bits, so two sets differ
+  in at least as many tokens as their sketches differ in bits.  A pair leaves a
+  join only if that is within what a link allows, and is then verified.
 
 Equal sets are one class from the start.  Defined cases: a null or empty text
 has an empty set, n_shingles 0 and is its own component; fewer words than
@@ -38,7 +41,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netgeo.llm.common import free_name, runs, saved
@@ -49,6 +52,7 @@ WIDTH, NUM, DEN = 3, 90, 100
 STAR_ROUNDS = 3
 #: Cost of verifying a pair, in index entries.
 PAIR_COST = 50.0
+SKETCH_BITS = 1024
 
 _S1, _S2, _SEG, _BAND = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
 _WORD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63))
@@ -149,6 +153,17 @@ def _class_of(s: np.ndarray) -> bytes:
     return np.array([mix(s ^ _S1).sum(dtype=np.uint64), mix(s ^ _S2).sum(dtype=np.uint64)], np.uint64).tobytes() if len(s) else b""
 
 
+def _sketch(s: np.ndarray) -> np.ndarray:
+    flips = np.bincount((mix(s ^ _SEG) >> np.uint64(40)).astype(np.int64) % SKETCH_BITS, minlength=SKETCH_BITS) % 2
+    return np.packbits(flips.astype(bool)).view(np.int64)
+
+
+def _may_link(a: str, b: str, num: int, den: int) -> Column:
+    """True for all pairs that link, and few others; columns <a>n, <a>sketch, <b>n, <b>sketch."""
+    apart = sum((F.bit_count(F.col(f"{a}sketch")[i].bitwiseXOR(F.col(f"{b}sketch")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
+    return apart * (den + num) <= (F.col(f"{a}n") + F.col(f"{b}n")) * (den - num)
+
+
 def describe(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     """key, digest of the text, n_shingles, class (equal for equal sets) and
     smallest hash of every row."""
@@ -197,20 +212,21 @@ def _link(members: DataFrame, sets: DataFrame, num: int, den: int, star_rounds:
                                      df.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")))
         state = with_component(members)
         spread = state.groupBy("signature").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
-        state = saved(state.join(spread.where("c0 <> c1").select("signature"), "signature"), "open")
+        state = state.join(spread.where("c0 <> c1").select("signature"), "signature")
+        state = saved(state.join(sets.select("id", "n", "sketch"), "id"), "open")
         if state.isEmpty():
             break
         if turn < star_rounds:  # the heaviest member of a component that has had no centre yet
             left = state if centres is None else state.join(with_component(centres).select("signature", "component"), ["signature", "component"], "left_anti")
-            centre = saved(left.groupBy("signature").agg(F.max_by(F.struct("id", "component"), F.struct("weight", "id")).alias("c"))
-                           .select("signature", F.col("c.id").alias("centre"), F.col("c.component").alias("own")), "centres")
-            pairs = state.join(centre, "signature").where("component <> own").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
+            centre = saved(left.groupBy("signature").agg(F.max_by(F.struct("id", "component", "n", "sketch"), F.struct("weight", "id")).alias("c"))
+                           .select("signature", F.col("c.id").alias("centre"), F.col("c.component").alias("own"), F.col("c.n").alias("_n"), F.col("c.sketch").alias("_sketch")), "centres")
+            pairs = state.join(centre, "signature").where(F.expr("component <> own") & _may_link("", "_", num, den)).select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
             new = centre.select("signature", F.col("centre").alias("id"))
             centres = new if centres is None else centres.unionByName(new)
         else:  # whatever is open still
-            left = state.select("signature", F.col("id").alias("a"), "component")
-            right = state.select("signature", F.col("id").alias("b"), F.col("component").alias("other"))
-            pairs = left.join(right, "signature").where("a < b and component <> other").select("a", "b")
+            left = state.select("signature", F.col("id").alias("a"), "component", "n", "sketch")
+            right = state.select("signature", F.col("id").alias("b"), F.col("component").alias("other"), F.col("n").alias("_n"), F.col("sketch").alias("_sketch"))
+            pairs = left.join(right, "signature").where(F.expr("a < b and component <> other") & _may_link("", "_", num, den)).select("a", "b")
         pairs = pairs.distinct() if tried is None else pairs.distinct().join(tried, ["a", "b"], "left_anti")
         pairs = saved(pairs, "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
@@ -258,12 +274,14 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
         parts = np.split(signed, at[1:]) if len(owners) else []
         return pa.table({"class": pa.array([_class_of(sets[i]) for i in owners.tolist()], pa.binary()),
                          "tokens": pa.array([sets[i].tobytes() for i in owners.tolist()], pa.binary()),
-                         "signatures": pa.array([np.unique(p) for p in parts], pa.list_(pa.int64()))})
+                         "signatures": pa.array([np.unique(p) for p in parts], pa.list_(pa.int64())),
+                         "n": pa.array([len(sets[i]) for i in owners.tolist()], pa.int64()),
+                         "sketch": pa.array([_sketch(sets[i]) for i in owners.tolist()], pa.list_(pa.int64()))})
 
     entries = total // 50 * 2  # about a signature for nine shingles, in one scheme or two
-    gathered = answered(dealt, entries, hashes, gather, "class binary, tokens binary, signatures array<bigint>")
-    gathered = saved(gathered.join(classes.select("class", "id"), "class").select("id", "tokens", "signatures"), "sets")
-    sets = gathered.groupBy("id").agg(F.first("tokens").alias("tokens"))
+    gathered = answered(dealt, entries, hashes, gather, "class binary, tokens binary, signatures array<bigint>, n bigint, sketch array<bigint>")
+    gathered = saved(gathered.join(classes.select("class", "id"), "class").select("id", "tokens", "signatures", "n", "sketch"), "sets")
+    sets = gathered.groupBy("id").agg(*(F.first(c).alias(c) for c in ("tokens", "n", "sketch")))
     members = gathered.select("id", F.explode("signatures").alias("signature")).distinct()
     many = members.groupBy("signature").agg(F.count("*").alias("n")).where("n > 1").select("signature")
     found = _link(saved(members.join(many, "signature"), "members"), sets, num, den, star_rounds)
