@@ -759,6 +759,21 @@ def q_score_ips(spark, sf_dir):
                                           split_frame(spark, sf_dir))
 
 
+@register("score_ips_exact")
+def q_score_ips_exact(spark, sf_dir):
+    """E10 + J5: unmatched IPs are scored on features of the address alone."""
+    from netgeo.plans import pipelines
+    bundle = pipelines.train_tree_family(split_frame(spark, sf_dir))
+    return pipelines.score_ips_with_bundle(query_table(spark, sf_dir), lookup_table(spark, sf_dir), bundle, "exact")
+
+
+@register("score_ips_knn")
+def q_score_ips_knn(spark, sf_dir):
+    """E10 for the KNN family, with the five best cities of every IP."""
+    from netgeo.plans import pipelines
+    return pipelines.score_ips_knn(query_table(spark, sf_dir), lookup_table(spark, sf_dir), split_frame(spark, sf_dir))
+
+
 # ----------------------------------------------------------------- flagship (entry)
 
 def flagship(spark, sf_dir) -> DataFrame:

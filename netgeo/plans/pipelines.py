@@ -8,12 +8,15 @@ both branches read it.
 
 from __future__ import annotations
 
+from pyspark.ml.classification import DecisionTreeClassificationModel
 from pyspark.ml.functions import vector_to_array
+from pyspark.ml.regression import DecisionTreeRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from netgeo.operators import clean, features, hashed_text, knn, lookup, models, stats
 from netgeo.session import materialize
+from netgeo.sources import io
 
 LABEL = "city_grouped"
 
@@ -130,20 +133,84 @@ def boosted_predictions(split: DataFrame, rounds: int = 400) -> DataFrame:
 
 # --------------------------------------------------------------------------- E10: score IPs
 
-def score_ips_with_trees(queries: DataFrame, lookup_df: DataFrame, split: DataFrame,
-                         max_depth: int = 20) -> DataFrame:
-    """Entry 2 as one plan: parse -> exact -> nearest -> IP-only features ->
-    tree models.  Invalid IPs keep their row with an error and no prediction."""
-    pre, fitted = train_tree_family(split, max_depth)
-    res = lookup.resolve(queries, lookup_df, "nearest")
-    rec = lookup.attach_record(res, lookup_df, [
-        "ip_mid", "asn", "lat", "lon", "local_rtt_ms", "state", "rdns_hostname",
-        "asn_description", "is_rtt_missing", "reachable_flag", "city"])
-    feats = lookup.ip_only_features(rec, synthetic_flags=True)
+RECORD_COLUMNS = ["ip_mid", "asn", "lat", "lon", "local_rtt_ms", "state", "rdns_hostname",
+                  "asn_description", "is_rtt_missing", "reachable_flag", "city"]
+
+
+def resolved_features(queries: DataFrame, lookup_df: DataFrame, mode: str) -> DataFrame:
+    """Parse -> exact -> nearest (``mode='nearest'``) or IP-only features
+    (``mode='exact'``), with the matched record's features attached."""
+    res = lookup.resolve(queries, lookup_df, mode)
+    rec = lookup.attach_record(res, lookup_df, RECORD_COLUMNS)
+    return lookup.ip_only_features(rec, synthetic_flags=True)
+
+
+def score_ips_with_bundle(queries: DataFrame, lookup_df: DataFrame, bundle, mode: str = "nearest") -> DataFrame:
+    """Every IP scored by a fitted (or loaded) tree family.  Invalid IPs keep
+    their row with an error and no prediction."""
+    pre, fitted = bundle
+    feats = resolved_features(queries, lookup_df, mode)
     valid = feats.filter(F.col("ip_num").isNotNull())
     scored = models.score_trees(fitted, pre, valid)
     bad = feats.filter(F.col("ip_num").isNull())
     cols = ["query_id", "ip", "range_id", "match_kind", "used_fallback", "error"]
-    return (scored.select(*cols, "predicted", "prob", "predicted_lat", "predicted_lon",
+    return (scored.select(*cols, "predicted", "prob", "topk", "predicted_lat", "predicted_lon",
                           "predicted_reachable")
             .unionByName(bad.select(*cols), allowMissingColumns=True))
+
+
+def score_ips_with_trees(queries: DataFrame, lookup_df: DataFrame, split: DataFrame,
+                         max_depth: int = 20) -> DataFrame:
+    """Entry 2 as one plan: train, then ``score_ips_with_bundle``."""
+    return score_ips_with_bundle(queries, lookup_df, train_tree_family(split, max_depth))
+
+
+def score_ips_knn(queries: DataFrame, lookup_df: DataFrame, split: DataFrame, k: int = 7, mode: str = "nearest") -> DataFrame:
+    """E10 for the KNN family: the k nearest training ranges of each distinct
+    resolved record vote; top classes, coordinates and reachability as for trees."""
+    train = split.filter(~F.col("is_test"))
+    pre = models.fit_preprocess(train, features.MODEL_FEATURES["knn"], scale=True, text_features=200, n_max=1)
+    lat_m, lon_m = table_means(split)
+    items = materialize(pre.transform(train).select(
+        "range_id", LABEL, "reachable_flag", F.coalesce("lat", F.lit(lat_m)).alias("lat_t"),
+        F.coalesce("lon", F.lit(lon_m)).alias("lon_t"), vector_to_array("features").alias("vec")))
+    feats = materialize(resolved_features(queries, lookup_df, mode).withColumnRenamed("range_id", "matched_id"))
+    valid = feats.filter(F.col("ip_num").isNotNull())
+    # a query's features depend on its record, or on the address itself without one
+    one = F.coalesce(F.col("matched_id"), -1 - F.col("ip_num")).alias("range_id")
+    distinct = valid.select(one, *[c for c in valid.columns if c not in ("query_id", "ip")]).dropDuplicates(["range_id"])
+    q = pre.transform(distinct).select("range_id", vector_to_array("features").alias("vec"))
+    near = knn.topk_cosine(q, items, k, "range_id", "range_id", "vec", "vec")
+    labelled = near.join(items.select(F.col("range_id").alias("iid"), LABEL, "reachable_flag", "lat_t", "lon_t"), "iid")
+    top = labelled.groupBy("qid", LABEL).agg((F.count("*") / k).alias("prob")).groupBy("qid").agg(
+        F.slice(F.sort_array(F.collect_list(F.struct((-F.col("prob")).alias("p"), F.col(LABEL).alias("city")))), 1, models.TOP_K).alias("t"))
+    top = top.select("qid", F.transform("t", lambda x: F.struct(x["city"].alias("city"), (-x["p"]).alias("prob"))).alias("topk"))
+    answers = (top.join(knn.vote(labelled, "reachable_flag", k, "predicted_reachable"), "qid")
+               .join(knn.mean_target(labelled, "lat_t", "predicted_lat"), "qid").join(knn.mean_target(labelled, "lon_t", "predicted_lon"), "qid"))
+    answers = answers.select(F.col("qid").alias("_one"), F.col("topk")[0]["city"].alias("predicted"), F.col("topk")[0]["prob"].alias("prob"), "topk",
+                             "predicted_lat", "predicted_lon", F.col("predicted_reachable").cast("int").alias("predicted_reachable"))
+    cols = ["query_id", "ip", F.col("matched_id").alias("range_id"), "match_kind", "used_fallback", "error"]
+    out = valid.withColumn("_one", one).join(answers, "_one", "left").select(*cols, *answers.columns[1:])
+    return out.unionByName(feats.filter(F.col("ip_num").isNull()).select(*cols), allowMissingColumns=True)
+
+
+# --------------------------------------------------------------------------- S4/S5: bundles
+
+TREE_PARTS = {"city": DecisionTreeClassificationModel, "lat": DecisionTreeRegressionModel,
+              "lon": DecisionTreeRegressionModel, "reach": DecisionTreeClassificationModel}
+
+
+def save_tree_family(spark, bundle, path: str) -> None:
+    """Preprocessing, four trees, labels and manifest in one folder."""
+    pre, fitted = bundle
+    io.save_model(pre, f"{path}/preprocess")
+    for name in TREE_PARTS:
+        fitted[name].write().overwrite().save(f"{path}/{name}")
+    io.write_feature_config(spark, f"{path}/manifest", {"model_type": "tree", "labels": fitted["labels"],
+                                                       "features": features.MODEL_FEATURES["tree"]})
+
+
+def load_tree_family(spark, path: str):
+    fitted = {name: kind.load(f"{path}/{name}") for name, kind in TREE_PARTS.items()}
+    fitted["labels"] = io.read_feature_config(spark, f"{path}/manifest")["labels"]
+    return io.load_model(f"{path}/preprocess"), fitted

@@ -6,7 +6,7 @@ import tempfile
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from netgeo.operators import features
+from netgeo.operators import features, models
 from netgeo.plans import catalog, pipelines
 from netgeo.sources import io
 from tests.conftest import SF_MID, SF_SMALL
@@ -125,3 +125,39 @@ def test_csv_source_roundtrip(spark):
     assert a == b
     empty = io.read_or_empty(spark, os.path.join(d, "missing"))
     assert empty.count() == 0 and "ip_from" in empty.columns
+
+
+def test_tree_family_saved_and_loaded_scores_alike(spark, tmp_path):
+    bundle = pipelines.train_tree_family(catalog.split_frame(spark, SF_SMALL))
+    pipelines.save_tree_family(spark, bundle, str(tmp_path / "trees"))
+    again = pipelines.load_tree_family(spark, str(tmp_path / "trees"))
+    queries, lk = catalog.query_table(spark, SF_SMALL), catalog.lookup_table(spark, SF_SMALL)
+    a, b = ({r["query_id"]: tuple(r) for r in pipelines.score_ips_with_bundle(queries, lk, x, "exact").collect()} for x in (bundle, again))
+    assert a == b
+    for r in pipelines.score_ips_with_bundle(queries, lk, again).where("error is null").limit(50).collect():
+        assert r["topk"][0]["prob"] == r["prob"] and len(r["topk"]) <= 5
+        assert [t["prob"] for t in r["topk"]] == sorted((t["prob"] for t in r["topk"]), reverse=True)
+
+
+def test_rbf_has_no_extra_class_and_unseen_categories_are_zero(spark):
+    train = spark.createDataFrame([(i, f"h{i % 5}", "s", float(i), "ab"[i % 2]) for i in range(20)], "range_id long, rdns_hostname string, state string, lat double, y string")
+    si, labels = models.index_labels(train, "y")
+    cols = ["state", "rdns_hostname"]
+    cats = models.train_categories(train, cols)
+
+    def prep(df):
+        return models.to_rff_vector(models.rff_transform(models.rff_inputs(df, {"lat": (10.0, 5.0)}, cats, cols), n_components=16))
+
+    assert models.train_rbf(prep(si.transform(train)), max_iter=5).numClasses == len(labels) == 2
+    other = spark.createDataFrame([(100, "new", None, 3.0), (101, None, "other", 3.0), (102, "h1", "s", 3.0)], "range_id long, rdns_hostname string, state string, lat double")
+    got = {r["range_id"]: (len(r["_cats"]), list(r["rff_arr"])) for r in prep(other).collect()}
+    assert got[100] == got[101] and got[100][0] == 0 and got[102][0] == 2 and got[102][1] != got[100][1]
+
+
+def test_norm_counts_unseen_buckets(spark):
+    rows = [(0, "aa bb", 0.0), (1, "aa cc", 1.0), (2, "bb cc", 0.0), (3, "cc dd", 1.0)]
+    train = spark.createDataFrame(rows, "range_id long, enhanced_text string, label_idx double").withColumn("weight", F.lit(1.0))
+    model = models.fit_hashed_lr(train, max_iter=5)
+    test = spark.createDataFrame([(9, "aa"), (10, "aa zz yy xx"), (11, "")], "range_id long, enhanced_text string")
+    got = {r["range_id"]: r["features"] for r in model.transform(test).select("range_id", "features").collect()}
+    assert abs(got[9].norm(2) - 1) < 1e-9 and got[10].norm(2) < 0.5 and got[11].norm(2) == 0
