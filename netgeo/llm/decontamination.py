@@ -45,7 +45,9 @@ SHINGLE = 5
 OVERLAP = 0.8
 ANSWER_SHARE = 0.25
 ANSWER_OVERLAP = 0.5
-BLOCK_ITEMS = 16
+BLOCK_ITEMS = 4
+#: The most of an item's score that terms set aside may hold, as a share of the threshold.
+ASIDE = 0.5
 MIN_SPAN = 64
 MAX_INDEX_WORDS = 2_000_000
 
@@ -86,7 +88,7 @@ class Index:
                 holders[w].append((i, x))
         for w in self.term:
             at, x = np.array([i for i, _ in holders[w]]), np.array([x for _, x in holders[w]])
-            if (aside[at] + x >= threshold - 1e-6).any():
+            if (aside[at] + x >= ASIDE * threshold - 1e-6).any():
                 break
             aside[at] += x
             self.n_aside += 1
@@ -119,11 +121,13 @@ class Index:
         place = np.repeat(self.begin[term] - (np.cumsum(n) - n), n) + np.arange(n.sum())
         cells, back = np.unique(np.repeat(passage, n) * len(self.aside) + self.block[place], return_inverse=True)
         bound = np.bincount(back, self.most[place], len(cells)) + self.aside[cells % len(self.aside)]
-        out = []
-        for cell in cells[bound >= self.threshold - 1e-6].tolist():
+        out, last, terms = [], -1, []
+        for cell in cells[bound >= self.threshold - 1e-6].tolist():  # in the order of passages
             p, b = divmod(cell, len(self.aside))
+            if p != last:
+                last, terms = p, np.unique(ids[p * self.span : (p + 2) * self.span]).tolist()
             score: dict[int, float] = defaultdict(float)
-            for t in np.unique(ids[p * self.span : (p + 2) * self.span]).tolist():
+            for t in terms:
                 for i, x in self.postings.get((t, b), ()):
                     score[i] += x
             out += [(p, i, x) for i, x in score.items() if x >= self.threshold - 1e-9]
