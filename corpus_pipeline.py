@@ -24,9 +24,10 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def ngram_jaccard(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays;
-    a document that links with nothing stays."""
-    return jaccard.keep_one(docs)
+    """Of each group of near copies (five-word shingles, Jaccard 0.8 or more)
+    the document with the smallest id stays; a document that links with
+    nothing stays."""
+    return jaccard.keep_one(docs, width=5, num=80, den=100)
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -278,7 +278,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
                          "n": pa.array([len(sets[i]) for i in owners.tolist()], pa.int64()),
                          "sketch": pa.array([_sketch(sets[i]) for i in owners.tolist()], pa.list_(pa.int64()))})
 
-    entries = total // 50 * 2  # about a signature for nine shingles, in one scheme or two
+    entries = total * 9 * (den - num) // (50 * num) * 2  # about a signature for num / (den - num) shingles, in one scheme or two
     gathered = answered(dealt, entries, hashes, gather, "class binary, tokens binary, signatures array<bigint>, n bigint, sketch array<bigint>")
     gathered = saved(gathered.join(classes.select("class", "id"), "class").select("id", "tokens", "signatures", "n", "sketch"), "sets")
     sets = gathered.groupBy("id").agg(*(F.first(c).alias(c) for c in ("tokens", "n", "sketch")))

@@ -64,6 +64,20 @@ def test_stages_against_brute_force(spark, corpus):
         docs = out
 
 
+def test_near_copies_by_five_words(spark, docs):
+    """One changed word in about fifty: near copies by five words and 0.8, not by three and 0.9."""
+    rng = random.Random(4)
+    rows = []
+    for i in range(40):
+        own = prose(rng, rng.randint(50, 57)).split()
+        rows.append((i, " ".join(own)))
+        own[rng.randint(10, 40)] = "changed"
+        rows.append((100 + i, " ".join(own)))
+    want = sorted(k for k, _, c in brute_components(rows, 5, 80, 100) if k == c)
+    assert len(want) == 40 and sum(k == c for k, _, c in brute_components(rows, 3, 90, 100)) > 60
+    assert sorted(r["doc_id"] for r in corpus_pipeline.ngram_jaccard(spark, docs(rows), "").collect()) == want
+
+
 def test_run_on_empty_tables(spark, corpus, tmp_path):
     sf, _, _ = corpus
     empty = tmp_path / "empty"
