@@ -16,8 +16,12 @@ with the key, and equal values get equal pseudonyms in every document.
 
 Defined cases: null text stays null with no findings; empty text stays empty;
 keys may be null or repeat, each row is treated by itself; ``pseudonymize``
-keeps all other columns; an empty table gives an empty result.  A candidate that fails its check stays as it is, unless a later kind
-claims it.
+keeps all other columns; an empty table gives an empty result.  A candidate
+that fails every check is looked at again from each of its numbers and words to
+each later one: from the left, the longest part that is valid is replaced.  The
+rest stays as it is.  A part replaced in a run of numbers can, by chance (about
+one in ten), form a longer valid card number with its neighbours; there, and
+only there, undoing goes wrong.
 """
 
 from __future__ import annotations
@@ -45,7 +49,14 @@ DATE = r"(?<!\d)(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?!\d
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?<!\w)\+\d{8,15}(?!\d)"
 CARD = r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])"
-ANY = "|".join((EMAIL, SECRET, IBAN, IPV4, DATE, SSN, PHONE, CARD))
+#: Numbers in a row, of which some may be a card's, with a date or an address that may follow without a blank.
+RUN = r"(?<![\w-])\d(?:[ -]?\d){12,58}(?![\w-])(?![\w.%+-]{1,64}+@)(?:[./]\d{1,4}(?!\w)){0,3}"
+ANY = "|".join((EMAIL, SECRET, IBAN, IPV4, DATE, SSN, PHONE, RUN))
+VALID_IPV4 = r"^(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)$"
+VALID_SSN = r"^(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}$"
+#: Between the parts of a candidate, and the most and fewest characters of a valid part.
+GAP = "[ ./-]"
+MOST, LEAST = 43, 7
 
 
 def _draw(key: str, kind: str, round_: Column, other: Column, at: Column | None = None) -> Column:
@@ -131,53 +142,65 @@ def _mod97(s: Column) -> Column:
                        .otherwise((acc * 100 + F.ascii(c) - 55) % 97))
 
 
+def _is_card(m: Column) -> Column:
+    digits = _only(m, "0-9")
+    return m.rlike(f"^(?:{CARD})$") & (luhn_digit(F.substring(digits, F.lit(1), F.length(digits) - 1)) == F.substring(digits, -1, 1))
+
+
 def _card(m: Column, key: str, undo: bool) -> tuple[Column, Column]:
     digits = _only(m, "0-9")
     payload = F.substring(digits, F.lit(1), F.length(digits) - 1)
-    valid = m.rlike(f"^(?:{CARD})$") & (luhn_digit(payload) == F.substring(digits, -1, 1))
     new = permute_text(payload, DIGITS, key, "card", undo=undo)
-    return valid, _refill(m, ("0-9", F.concat(new, luhn_digit(new))))
+    return _is_card(m), _refill(m, ("0-9", F.concat(new, luhn_digit(new))))
+
+
+def _is_iban(m: Column) -> Column:
+    plain = F.regexp_replace(m, " ", "")
+    return m.rlike(f"^(?:{IBAN})$") & (_mod97(F.concat(F.substring(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4))) == 1)
 
 
 def _iban(m: Column, key: str, undo: bool) -> tuple[Column, Column]:
     plain = F.regexp_replace(m, " ", "")
     country, account = F.substring(plain, 1, 2), F.substring(plain, F.lit(5), F.length(plain))
-    valid = m.rlike(f"^(?:{IBAN})$") & (_mod97(F.concat(account, country, F.substring(plain, 3, 2))) == 1)
     moved = _scramble(account, key, "iban", undo)
     check = F.lpad((98 - _mod97(F.concat(moved, country, F.lit("00")))).cast("string"), 2, "0")
     whole = F.concat(country, check, moved)
     spaced = F.array_join(F.transform(_chars(m), lambda c, i: F.when(c == " ", c).otherwise(
         F.substring(whole, F.length(F.regexp_replace(F.substring(m, F.lit(1), i + 1), " ", "")), F.lit(1)))), "")
-    return valid, spaced
+    return _is_iban(m), spaced
 
 
 def _ipv4(m: Column, key: str, undo: bool) -> tuple[Column, Column]:
     o = [F.try_element_at(F.split(m, r"\."), F.lit(i)).cast("int") for i in (1, 2, 3, 4)]
-    valid = m.rlike(r"^(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)$")
     p = permute_pair(o[0] * 256 + o[1], 65536, o[2] * 256 + o[3], 65536, key, "ipv4", undo=undo)
-    return valid, F.concat_ws(".", *((F.floor(p[x] / 256) if high else p[x] % 256).cast("string") for x, high in (("a", 1), ("a", 0), ("b", 1), ("b", 0))))
+    return m.rlike(VALID_IPV4), F.concat_ws(".", *((F.floor(p[x] / 256) if high else p[x] % 256).cast("string") for x, high in (("a", 1), ("a", 0), ("b", 1), ("b", 0))))
 
 
-def _date(m: Column, key: str, undo: bool) -> tuple[Column, Column]:
-    form = F.when(m.contains("-"), F.lit("yyyy-MM-dd")).when(m.contains("."), F.lit("dd.MM.yyyy")).otherwise(F.lit("MM/dd/yyyy"))
+def _day(m: Column) -> Column:
     iso = (F.when(m.contains("-"), m).when(m.contains("."), F.concat_ws("-", F.substring(m, 7, 4), F.substring(m, 4, 2), F.substring(m, 1, 2)))
            .otherwise(F.concat_ws("-", F.substring(m, 7, 4), F.substring(m, 1, 2), F.substring(m, 4, 2))))
-    parsed = iso.try_cast("date")
-    day = F.date_diff(parsed, F.lit(FIRST_DAY).cast("date"))
-    valid = m.rlike(f"^(?:{DATE})$") & parsed.isNotNull() & day.between(0, DATE_A * DATE_B - 1)
+    return F.date_diff(iso.try_cast("date"), F.lit(FIRST_DAY).cast("date"))
+
+
+def _is_date(m: Column) -> Column:
+    return m.rlike(f"^(?:{DATE})$") & F.coalesce(_day(m).between(0, DATE_A * DATE_B - 1), F.lit(False))
+
+
+def _date(m: Column, key: str, undo: bool) -> tuple[Column, Column]:
+    form = F.when(m.contains("-"), F.lit("yyyy-MM-dd")).when(m.contains("."), F.lit("dd.MM.yyyy")).otherwise(F.lit("MM/dd/yyyy"))
+    day = _day(m)
     p = permute_pair(F.floor(day / DATE_B), DATE_A, day % DATE_B, DATE_B, key, "date", undo=undo)
     moved = F.date_add(F.lit(FIRST_DAY).cast("date"), (p["a"] * DATE_B + p["b"]).cast("int"))
     text = moved.cast("string")
     y, mo, d = F.substring(text, 1, 4), F.substring(text, 6, 2), F.substring(text, 9, 2)
-    return valid, F.when(form == "yyyy-MM-dd", text).when(form == "dd.MM.yyyy", F.concat_ws(".", d, mo, y)).otherwise(F.concat_ws("/", mo, d, y))
+    return _is_date(m), F.when(form == "yyyy-MM-dd", text).when(form == "dd.MM.yyyy", F.concat_ws(".", d, mo, y)).otherwise(F.concat_ws("/", mo, d, y))
 
 
 def _ssn(m: Column, key: str, undo: bool) -> tuple[Column, Column]:
     area, group, serial = (F.substring(m, a, n).cast("int") for a, n in ((1, 3), (5, 2), (8, 4)))
-    valid = m.rlike(r"^(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}$")
     p = permute_pair(area - F.when(area > 666, 2).otherwise(1), 898, (group - 1) * 9999 + serial - 1, 99 * 9999, key, "ssn", undo=undo)
     new = p["a"] + F.when(p["a"] >= 665, 2).otherwise(1)
-    return valid, F.concat_ws("-", F.lpad(new.cast("string"), 3, "0"), F.lpad((F.floor(p["b"] / 9999) + 1).cast("string"), 2, "0"),
+    return m.rlike(VALID_SSN), F.concat_ws("-", F.lpad(new.cast("string"), 3, "0"), F.lpad((F.floor(p["b"] / 9999) + 1).cast("string"), 2, "0"),
                               F.lpad((p["b"] % 9999 + 1).cast("string"), 4, "0"))
 
 
@@ -208,6 +231,39 @@ def _secret(m: Column, key: str, undo: bool) -> tuple[Column, Column]:
 KINDS = (("email", _email), ("secret", _secret), ("iban", _iban), ("ipv4", _ipv4), ("date", _date), ("ssn", _ssn), ("phone", _phone), ("card", _card))
 
 
+def _kind(m: Column) -> Column:
+    """The first kind of numbers of which ``m`` is valid as a whole, else null."""
+    return (F.when(_is_iban(m), "iban").when(m.rlike(VALID_IPV4), "ipv4").when(_is_date(m), "date").when(m.rlike(VALID_SSN), "ssn")
+            .when(m.rlike(f"^(?:{PHONE})$"), "phone").when(_is_card(m), "card"))
+
+
+def _span(tokens: Column, start: Column, end: Column) -> Column:
+    return F.array_join(F.slice(tokens, start, end - start + 1), "")
+
+
+def cut(m: Column) -> Column:
+    """A candidate as an array of valid parts and of what stands between them:
+    from the left the longest valid part, then on behind it."""
+    tokens = F.split(m, f"(?<={GAP})|(?={GAP})", -1)
+
+    def span(t: Column, i: Column, j: Column) -> Column:
+        beside = F.concat(F.coalesce(F.get(t, i - 2), F.lit("")), F.coalesce(F.get(t, j), F.lit("")))
+        kind = F.transform(F.array(_span(t, i, j)), lambda x: F.when(F.length(x).between(LEAST, MOST) & x.rlike("^[A-Z0-9].*[A-Z0-9]$"), _kind(x)))[0]
+        return F.struct(i.alias("start"), j.alias("end"), kind.alias("kind"), beside.alias("beside"))
+
+    def parts(t: Column) -> Column:
+        n = F.size(t)
+        spans = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.least(n, i + MOST), i, F.lit(-1)), lambda j: span(t, i, j))))
+        valid = F.filter(spans, lambda x: x["kind"].isNotNull() & ~((x["kind"] == "ssn") & x["beside"].contains("-")) & ~((x["kind"] == "ipv4") & x["beside"].contains(".")))
+        start = F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("out"))
+        return F.aggregate(valid, start, lambda acc, x: F.when(x["start"] > acc["end"], F.struct(x["end"].alias("end"), F.concat(
+            acc["out"], F.array(_span(t, acc["end"] + 1, x["start"] - 1), _span(t, x["start"], x["end"]))).alias("out"))).otherwise(acc),
+            lambda acc: F.concat(acc["out"], F.array(_span(t, acc["end"] + 1, n))))
+
+    again = m.rlike(f"[A-Za-z0-9]{GAP}[A-Za-z0-9]") & ~m.rlike("[@=:]") & _kind(m).isNull()
+    return F.when(again, F.transform(F.array(tokens), parts)[0]).otherwise(F.array(m))
+
+
 def pseudonym(m: Column, key: str = KEY, undo: bool = False) -> Column:
     """Kind and replacement of one candidate; a null kind if it is nothing."""
     out = None
@@ -227,10 +283,10 @@ def pseudonymize(docs: DataFrame, text: str = "text", key: str = KEY, undo: bool
     own = F.col(f"`{text}`")
     some = own.rlike("[0-9@]|password|secret|token|key")
     found = F.when(some, F.regexp_extract_all(own, F.lit(ANY), F.lit(0)))
-    rows = docs.withColumn(held, F.transform(found, lambda m: pseudonym(m, key, undo)))
-    new = F.concat(F.transform(held, lambda x: x["new"]), F.array(F.lit("")))
+    rows = docs.withColumn(held, F.transform(F.transform(found, cut), lambda parts: F.transform(parts, lambda m: pseudonym(m, key, undo))))
+    new = F.concat(F.transform(held, lambda parts: F.array_join(F.transform(parts, lambda x: x["new"]), "")), F.array(F.lit("")))
     joined = F.array_join(F.zip_with(F.split(own, ANY, -1), new, lambda p, m: F.concat(p, m)), "")
-    names = F.filter(F.transform(held, lambda x: x["kind"]), lambda k: k.isNotNull())
+    names = F.filter(F.transform(F.flatten(held), lambda x: x["kind"]), lambda k: k.isNotNull())
     rows = rows.withColumn(text, F.when(F.size(held) > 0, joined).otherwise(own))
     return rows.withColumn(held, F.coalesce(names, F.array().cast("array<string>"))) if kinds else rows.drop(held)
 

@@ -133,6 +133,29 @@ def test_pii_round_trip_and_formats(docs):
     assert all(r["text"] != rows[r["doc_id"]]["text"] for r in other)
 
 
+def test_pii_inside_failed_candidates(docs):
+    card, iban, spaced = "4111111111111111", "ES9121000418450200051332", "ES91 2100 0418 4502 0005 1332"
+    cases = [("card 4111 1111 1111 1111 12/27", "4111 1111 1111 1111", "card"), (f"{card} 25", card, "card"), (f"order 12 {card}.", card, "card"),
+             ("order 12345678 4111 1111 1111 1111", "4111 1111 1111 1111", "card"), (f"12-{card}-7", card, "card"), (f"{card}/123", card, "card"),
+             (f"{spaced} BIC", spaced, "iban"), (f"{iban} OK then", iban, "iban"), ("AB13 CDEF 4111 1111 1111 1111", "4111 1111 1111 1111", "card"),
+             ("id 7 2024-01-31 12346", "2024-01-31", "date"), ("12 123-45-6789 1234", "123-45-6789", "ssn"), ("4012429011158755 31.12.1990", "31.12.1990", "date"),
+             ("12 345 678 901 233.233.171.252", "233.233.171.252", "ipv4")]
+    clean = ["4012429011158755 12", "DE88 3704 0044 0532 0130 00 OK", "1 2 3 4 5 6 7 8 9 0 1 2 3 4 6"]
+    out = pii.pseudonymize(docs([c[0] for c in cases] + clean), kinds="kinds").cache()
+    rows = {r["doc_id"]: r for r in out.collect()}
+    for i, (text, secret, kind) in enumerate(cases):
+        assert secret not in rows[i]["text"] and rows[i]["kinds"] == [kind], (text, rows[i])
+        if kind in ("card", "iban"):
+            head, tail = text.split(secret)
+            assert rows[i]["text"].startswith(head) and rows[i]["text"].endswith(tail)
+    assert [rows[len(cases) + i]["text"] for i in range(len(clean))] == clean
+    two = pii.pseudonymize(docs([f"{card} {card}"]), kinds="kinds").first()
+    assert two["kinds"] == ["card", "card"] and card not in two["text"]
+    back = {r["doc_id"]: r["text"] for r in pii.pseudonymize(out.drop("kinds"), undo=True).collect()}
+    assert all(back[i] == text for i, (text, _, kind) in enumerate(cases) if kind in ("card", "iban"))
+    out.unpersist()
+
+
 def test_pii_keeps_other_columns(spark):
     df = spark.createDataFrame([(1, "ip 10.0.0.1", "k", 5)], "doc_id int, text string, _kinds string, new int")
     assert pii.pseudonymize(df).columns == df.columns
