@@ -42,7 +42,9 @@ DATE_A, DATE_B = 17, 4297
 FIRST_DAY = "1900-01-01"
 
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+"
-SECRET = r"AKIA[0-9A-Z]{16}|(?:token|password|passwd|secret|api_?key)\s{0,2}[=:]\s{0,2}[\"']?[0-9A-Za-z+/_-]{8,}"
+#: Names before a secret, in any case.
+NAMES = "(?i:token|password|passwd|secret|api_?key)"
+SECRET = rf"AKIA[0-9A-Z]{{16}}|{NAMES}\s{{0,2}}[=:]\s{{0,2}}[\"']?[0-9A-Za-z+/_-]{{8,}}"
 IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
 IPV4 = r"(?<![\d.])(?:\d{1,3}\.){3}\d{1,3}(?!\d|\.\d)"
 DATE = r"(?<!\d)(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?!\d)"
@@ -222,7 +224,7 @@ def _email(m: Column, key: str, undo: bool) -> tuple[Column, Column]:
 
 
 def _secret(m: Column, key: str, undo: bool) -> tuple[Column, Column]:
-    lead = F.regexp_extract(m, r"^(?:AKIA|[a-z_]+\s{0,2}[=:]\s{0,2}[\"']?)", 0)
+    lead = F.regexp_extract(m, r"^(?:AKIA|[A-Za-z_]+\s{0,2}[=:]\s{0,2}[\"']?)", 0)
     value = F.substring(m, F.length(lead) + 1, F.length(m))
     moved = F.when(value.rlike("^[0-9a-f]+$"), _scramble(value, key, "hex", undo, LOWER[:6])).otherwise(_scramble(value, key, "secret", undo))
     return m.rlike(f"^(?:{SECRET})$"), F.concat(lead, moved)
@@ -281,7 +283,7 @@ def pseudonymize(docs: DataFrame, text: str = "text", key: str = KEY, undo: bool
         raise ValueError(f"the input has a column {kinds} already")
     held = free_name(docs, kinds or "_kinds")
     own = F.col(f"`{text}`")
-    some = own.rlike("[0-9@]|password|secret|token|key")
+    some = own.rlike(f"[0-9@]|AKIA|{NAMES}")
     found = F.when(some, F.regexp_extract_all(own, F.lit(ANY), F.lit(0)))
     rows = docs.withColumn(held, F.transform(F.transform(found, cut), lambda parts: F.transform(parts, lambda m: pseudonym(m, key, undo))))
     new = F.concat(F.transform(held, lambda parts: F.array_join(F.transform(parts, lambda x: x["new"]), "")), F.array(F.lit("")))
