@@ -239,11 +239,13 @@ def _link(members: DataFrame, sets: DataFrame, num: int, den: int, star_rounds:
 
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = WIDTH, num: int = NUM, den: int = DEN,
          star_rounds: int = STAR_ROUNDS, block_bytes: int = BLOCK_BYTES, pairs: int | None = None) -> DataFrame:
-    """key, n_shingles, component_id (the smallest key reachable) and digest
-    (xxhash64 of the text) of every row."""
+    """key, n_shingles, component_id (the smallest key reachable), digest
+    (xxhash64 of the text) and component (one number for each component, null
+    for empty sets) of every row.  Texts that share a key but do not link have
+    one component_id and two components."""
     rows = saved(describe(docs, key, text, width), "described")
-    classes = rows.where("key is not null and n_shingles > 0").groupBy("class").agg(F.min("key").alias("id"), F.first("n_shingles").alias("n"), F.first("least").alias("least"))
-    classes = saved(classes, "classes")
+    classes = rows.where("key is not null and n_shingles > 0").groupBy("class").agg(F.min("key").alias("least_key"), F.first("n_shingles").alias("n"), F.first("least").alias("least"))
+    classes = saved(classes.withColumn("id", F.monotonically_increasing_id()), "classes")  # equal keys are told apart; read back, the ids stay
     largest = classes.agg(F.max("n")).first()[0] or 0
     first = Scheme.bands(largest, num, den)
     band = F.lit(0)
@@ -286,19 +288,23 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     many = members.groupBy("signature").agg(F.count("*").alias("n")).where("n > 1").select("signature")
     found = _link(saved(members.join(many, "signature"), "members"), sets, num, den, star_rounds)
 
-    ids = classes.select("class", "id")
+    ids = classes.select("class", "id", "least_key", F.col("id").alias("component"))
     if found is not None:
-        ids = ids.join(found, "id", "left").select("class", F.coalesce("component", "id").alias("id"))
-    out = rows.join(ids, "class", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("id")).otherwise(F.col("key"))
-    return out.select(F.col("key").alias(key), "n_shingles", F.when(F.col("key").isNotNull(), component).alias("component_id"), "digest")
+        least = found.join(classes, "id").groupBy("component").agg(F.min("least_key").alias("reached"))
+        ids = (ids.drop("component").join(found, "id", "left").join(least, "component", "left")
+               .select("class", F.coalesce("reached", "least_key").alias("least_key"), F.coalesce("component", "id").alias("component")))
+    out = rows.join(ids.select("class", "least_key", "component"), "class", "left")
+    keyed = F.col("key").isNotNull()
+    component_id = F.when(F.col("n_shingles") > 0, F.col("least_key")).otherwise(F.col("key"))
+    return out.select(F.col("key").alias(key), "n_shingles", F.when(keyed, component_id).alias("component_id"), "digest",
+                      F.when(keyed, F.col("component")).alias("component"))
 
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row of each group that links, the one with the smallest key (rows
     that repeat it: one of them); rows without a key stay."""
     k, d, nth = (free_name(docs, x) for x in ("_key", "_digest", "_nth"))
-    first = (link(docs, key, text, **options).where("component_id is not null").groupBy("component_id")
+    first = (link(docs, key, text, **options).where("component_id is not null").groupBy("component", F.when(F.col("component").isNull(), F.col("component_id")))
              .agg(F.min(F.struct(F.col(key).alias(k), F.col("digest").alias(d))).alias("first")).select("first.*"))
     rows = docs.where(F.col(key).isNotNull()).withColumn(k, F.col(key)).withColumn(d, F.xxhash64(text)).join(first, [k, d], "left_semi")
     rows = rows.withColumn(nth, F.row_number().over(Window.partitionBy(k, d).orderBy(k))).where(F.col(nth) == 1)

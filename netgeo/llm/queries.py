@@ -51,7 +51,7 @@ def op9_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.link(table(spark, sf_dir, "documents")).drop("digest")
+    return jaccard.link(table(spark, sf_dir, "documents")).drop("digest", "component")
 
 
 QUERIES = {f.__name__: f for f in (op1_url_filters, op2_license_scans, op3_best_fit_packing, op4_benchmark_decontamination, op5_language_id, op6_token_counts, op7_substring_dedup, op8_pii_pseudonyms, op9_exact_topk, op10_ngram_jaccard_join)}

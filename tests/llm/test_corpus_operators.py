@@ -299,6 +299,16 @@ def test_keep_one(docs):
     assert kept.columns == docs([]).columns and jaccard.keep_one(docs([])).count() == 0
 
 
+def test_repeated_key_with_different_texts(docs):
+    rng = random.Random(6)
+    a, b = prose(rng, 80, "abcdefghij"), prose(rng, 80, "klmnopqrst")
+    rows = [(5, a), (5, b), (9, a + " extra"), (3, b + " extra"), (7, "x y z"), (7, "p q r s")]
+    got = jaccard.link(docs(rows)).collect()
+    assert Counter(tuple(r[:3]) for r in got) == brute_components(rows, 3, 90, 100)
+    kept = jaccard.keep_one(docs(rows)).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter([rows[0], rows[3], rows[4], rows[5]])
+
+
 def test_signatures_of_linked_sets_meet():
     """The pigeonhole: sets that link share a signature, whatever the allocation."""
     rng = np.random.default_rng(3)
