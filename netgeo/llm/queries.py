@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from netgeo.llm import decontamination, jaccard, language, licenses, packing, pii, substring_dedup, token_counts, topk, url_filter
+from netgeo.llm import decontamination, divergence, jaccard, language, licenses, packing, pii, substring_dedup, token_counts, topk, url_filter
 from netgeo.llm.common import table
 
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
@@ -54,7 +54,11 @@ def op10_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.link(table(spark, sf_dir, "documents")).drop("digest", "component")
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_license_scans, op3_best_fit_packing, op4_benchmark_decontamination, op5_language_id, op6_token_counts, op7_substring_dedup, op8_pii_pseudonyms, op9_exact_topk, op10_ngram_jaccard_join)}
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_license_scans, op3_best_fit_packing, op4_benchmark_decontamination, op5_language_id, op6_token_counts, op7_substring_dedup, op8_pii_pseudonyms, op9_exact_topk, op10_ngram_jaccard_join, op12_source_divergence)}
 ORACLES: dict[str, str] = {
     "op9_exact_topk": """
 WITH v AS (
@@ -68,4 +72,34 @@ WITH v AS (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS n FROM s
 )
 SELECT query_id, n::INTEGER AS rank, vec_id, score FROM r WHERE n <= 5""",
+    "op12_source_divergence": r"""
+WITH d AS (
+  SELECT row_number() OVER () AS doc, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS words
+  FROM documents
+), w AS (SELECT doc, lang, source, unnest(words) AS term FROM d),
+kept AS (SELECT lang, term, count(*) AS total FROM w GROUP BY lang, term HAVING count(DISTINCT doc) >= 30),
+size AS (SELECT lang, count(*) AS v, sum(total) AS n FROM kept GROUP BY lang),
+grp AS (SELECT DISTINCT lang, source FROM d),
+cnt AS (SELECT lang, source, term, count(*) AS n FROM w SEMI JOIN kept USING (lang, term) GROUP BY lang, source, term),
+tot AS (SELECT lang, source, sum(n) AS n FROM cnt GROUP BY lang, source),
+p AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+         1 + (1000000000::HUGEINT * (coalesce(c.n, 0) + 5)) // (coalesce(t.n, 0) + 5 * s.v) AS p,
+         1 + (1000000000::HUGEINT * (k.total + 5)) // (s.n + 5 * s.v) AS q
+  FROM grp g JOIN kept k USING (lang) JOIN size s USING (lang)
+  LEFT JOIN cnt c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term
+  LEFT JOIN tot t ON t.lang = g.lang AND t.source = g.source
+), far AS (
+  SELECT a.lang, a.source, b.source AS item, sum(abs(a.p - b.p)) AS value
+  FROM p a JOIN p b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL
+), pair AS (
+  SELECT a.lang, a.source, b.source AS item, coalesce(f.value, 0) AS value
+  FROM grp a JOIN grp b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN far f ON f.lang = a.lang AND f.source = a.source AND f.item = b.source
+), r AS (
+  SELECT lang, source, 'pair' AS part, item, value FROM pair
+  UNION ALL SELECT lang, source, 'term', term, p - q FROM p WHERE n > 0 AND p > q
+), ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM r)
+SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= 50""",
 }
