@@ -15,7 +15,8 @@ with the key, and equal values get equal pseudonyms in every document.
   themselves without any walk.
 
 Defined cases: null text stays null with no findings; empty text stays empty;
-keys may be null or repeat, each row is treated by itself; ``pseudonymize``
+keys may be null or repeat, each row is treated by itself; very long texts,
+runs of numbers and secrets take time in proportion to their length; ``pseudonymize``
 keeps all other columns; an empty table gives an empty result.  A candidate
 that fails every check is looked at again from each of its numbers and words to
 each later one: from the left, the longest part that is valid is replaced.  The
@@ -26,12 +27,13 @@ only there, undoing goes wrong.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from netgeo.llm.common import free_name
 
-KEY = "netgeo-pseudonyms-1"
 ROUNDS = 8
 DIGITS = "0123456789"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
@@ -41,7 +43,7 @@ UPPER = LOWER.upper()
 DATE_A, DATE_B = 17, 4297
 FIRST_DAY = "1900-01-01"
 
-EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63})+"
+EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}+(?:\.[A-Za-z0-9-]{1,63}+){1,126}+"
 #: Names before a secret, in any case.
 NAMES = "(?i:token|password|passwd|secret|api_?key)"
 SECRET = rf"AKIA[0-9A-Z]{{16}}|{NAMES}\s{{0,2}}[=:]\s{{0,2}}[\"']?[0-9A-Za-z+/_-]{{8,}}"
@@ -51,14 +53,18 @@ DATE = r"(?<!\d)(?:\d{4}-\d{2}-\d{2}|\d{2}\.\d{2}\.\d{4}|\d{2}/\d{2}/\d{4})(?!\d
 SSN = r"(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-])"
 PHONE = r"(?<![\w+])(?:\+\d{1,3}[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4}(?!\d)|(?<!\w)\+\d{8,15}(?!\d)"
 CARD = r"(?<![\w-])\d(?:[ -]?\d){12,18}(?![\w-])"
-#: Numbers in a row, of which some may be a card's, with a date or an address that may follow without a blank.
-RUN = r"(?<![\w-])\d(?:[ -]?\d){12,58}(?![\w-])(?![\w.%+-]{1,64}+@)(?:[./]\d{1,4}(?!\w)){0,3}"
+#: Numbers in a row, of which some may be a card's, however many; each ends where a card may end.
+NUMBER = r"\d++(?:-\d++)*+(?![\w-])(?![\w.%+-]{1,64}+@)"
+#: At least 13 digits, with a date or an address that may follow without a blank.
+RUN = rf"(?<![\w-])(?=\d(?:[ -]?\d){{12}}){NUMBER}(?: {NUMBER})*+(?:[./]\d{{1,4}}(?!\w)){{0,3}}"
 ANY = "|".join((EMAIL, SECRET, IBAN, IPV4, DATE, SSN, PHONE, RUN))
 VALID_IPV4 = r"^(?:(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)\.){3}(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)$"
 VALID_SSN = r"^(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}$"
 #: Between the parts of a candidate, and the most and fewest characters of a valid part.
 GAP = "[ ./-]"
 MOST, LEAST = 43, 7
+#: Symbols of a secret permuted together: a longer one goes block by block.
+BLOCK = 256
 
 
 def _draw(key: str, kind: str, round_: Column, other: Column, at: Column | None = None) -> Column:
@@ -130,6 +136,12 @@ def _scramble(s: Column, key: str, kind: str, undo: bool, lower: str = LOWER) ->
     return _refill(s, *((c, permute_text(_only(s, c), alphabet, key, kind + c, undo=undo)) for c, alphabet in classes))
 
 
+def _blockwise(s: Column, f: Callable[[Column], Column]) -> Column:
+    """``f`` of each block of a string, so that the work grows with its length."""
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.length(s) - 1) / BLOCK)), lambda i: f(F.substring(s, (i * BLOCK + 1).cast("int"), F.lit(BLOCK))))
+    return F.when(F.length(s) > BLOCK, F.array_join(blocks, "")).otherwise(f(s))
+
+
 def luhn_digit(payload: Column) -> Column:
     """The check digit of a string of digits."""
     n = F.length(payload)
@@ -226,7 +238,7 @@ def _email(m: Column, key: str, undo: bool) -> tuple[Column, Column]:
 def _secret(m: Column, key: str, undo: bool) -> tuple[Column, Column]:
     lead = F.regexp_extract(m, r"^(?:AKIA|[A-Za-z_]+\s{0,2}[=:]\s{0,2}[\"']?)", 0)
     value = F.substring(m, F.length(lead) + 1, F.length(m))
-    moved = F.when(value.rlike("^[0-9a-f]+$"), _scramble(value, key, "hex", undo, LOWER[:6])).otherwise(_scramble(value, key, "secret", undo))
+    moved = F.when(value.rlike("^[0-9a-f]+$"), _blockwise(value, lambda v: _scramble(v, key, "hex", undo, LOWER[:6]))).otherwise(_blockwise(value, lambda v: _scramble(v, key, "secret", undo)))
     return m.rlike(f"^(?:{SECRET})$"), F.concat(lead, moved)
 
 
@@ -245,28 +257,44 @@ def _span(tokens: Column, start: Column, end: Column) -> Column:
 
 def cut(m: Column) -> Column:
     """A candidate as an array of valid parts and of what stands between them:
-    from the left the longest valid part, then on behind it."""
-    tokens = F.split(m, f"(?<={GAP})|(?={GAP})", -1)
-
-    def span(t: Column, i: Column, j: Column) -> Column:
-        beside = F.concat(F.coalesce(F.get(t, i - 2), F.lit("")), F.coalesce(F.get(t, j), F.lit("")))
-        kind = F.transform(F.array(_span(t, i, j)), lambda x: F.when(F.length(x).between(LEAST, MOST) & x.rlike("^[A-Z0-9].*[A-Z0-9]$"), _kind(x)))[0]
-        return F.struct(i.alias("start"), j.alias("end"), kind.alias("kind"), beside.alias("beside"))
-
-    def parts(t: Column) -> Column:
-        n = F.size(t)
-        spans = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.least(n, i + MOST), i, F.lit(-1)), lambda j: span(t, i, j))))
-        valid = F.filter(spans, lambda x: x["kind"].isNotNull() & ~((x["kind"] == "ssn") & x["beside"].contains("-")) & ~((x["kind"] == "ipv4") & x["beside"].contains(".")))
+    from the left the longest valid part, then on behind it.  A long candidate
+    is searched from each of its pieces into the next one."""
+    split = lambda x: F.split(x, f"(?<={GAP})|(?={GAP})", -1)
+
+    def piece(pieces: Column, at: Column) -> Column:
+        own = F.get(pieces, at)
+        before = F.substring(F.coalesce(F.get(pieces, at - 1), F.lit("")), -1, 1)
+        skipped = F.aggregate(F.slice(pieces, F.lit(1), at), F.lit(0), lambda n, x: n + F.length(x))
+        tokens = split(F.concat(own, F.coalesce(F.get(pieces, at + 1), F.lit(""))))
+        return F.flatten(F.transform(F.array(F.struct(tokens.alias("t"), skipped.alias("skipped"))), lambda w: spans(w["t"], F.size(split(own)), before, w["skipped"])))
+
+    def spans(t: Column, n_own: Column, before: Column, skipped: Column) -> Column:
+        word = lambda i: ~F.get(t, i - 1).isin("", *GAP[1:-1])
+        starts = F.filter(F.sequence(F.lit(1), n_own), word)
+        return F.flatten(F.transform(starts, lambda i: F.filter(F.transform(F.filter(F.sequence(F.least(F.size(t), i + MOST), i, F.lit(-1)), word), lambda j: span(t, i, j, before, skipped)), right)))
+
+    def span(t: Column, i: Column, j: Column, before: Column, skipped: Column) -> Column:
+        beside = F.concat(F.coalesce(F.get(t, i - 2), before), F.coalesce(F.get(t, j), F.lit("")))
+        return F.transform(F.array(_span(t, i, j)), lambda x: F.struct(
+            F.when(F.length(x).between(LEAST, MOST) & x.rlike("^[A-Z0-9].*[A-Z0-9]$"), _kind(x)).alias("kind"), beside.alias("beside"), x.alias("text"), i.alias("i"), t.alias("t"), skipped.alias("skipped")))[0]
+
+    def right(x: Column) -> Column:
+        return x["kind"].isNotNull() & ~((x["kind"] == "ssn") & x["beside"].contains("-")) & ~((x["kind"] == "ipv4") & x["beside"].contains("."))
+
+    def parts(pieces: Column) -> Column:
+        found = F.flatten(F.transform(F.sequence(F.lit(0), F.size(pieces) - 1), lambda at: piece(pieces, at)))
+        valid = F.transform(found, lambda x: F.struct((x["skipped"] + F.length(_span(x["t"], F.lit(1), x["i"] - 1))).alias("start"), x["text"].alias("text")))
         start = F.struct(F.lit(0).alias("end"), F.array().cast("array<string>").alias("out"))
-        return F.aggregate(valid, start, lambda acc, x: F.when(x["start"] > acc["end"], F.struct(x["end"].alias("end"), F.concat(
-            acc["out"], F.array(_span(t, acc["end"] + 1, x["start"] - 1), _span(t, x["start"], x["end"]))).alias("out"))).otherwise(acc),
-            lambda acc: F.concat(acc["out"], F.array(_span(t, acc["end"] + 1, n))))
+        return F.aggregate(valid, start, lambda acc, x: F.when(x["start"] >= acc["end"], F.struct((x["start"] + F.length(x["text"])).alias("end"), F.concat(
+            acc["out"], F.array(F.substring(m, acc["end"] + 1, x["start"] - acc["end"]), x["text"])).alias("out"))).otherwise(acc),
+            lambda acc: F.concat(acc["out"], F.array(F.substring(m, acc["end"] + 1, F.length(m)))))
 
     again = m.rlike(f"[A-Za-z0-9]{GAP}[A-Za-z0-9]") & ~m.rlike("[@=:]") & _kind(m).isNull()
-    return F.when(again, F.transform(F.array(tokens), parts)[0]).otherwise(F.array(m))
+    pieces = F.regexp_extract_all(m, F.lit(f"(?:[^{GAP[1:-1]}]*+{GAP}){{1,{MOST}}}+|[^{GAP[1:-1]}]++"), F.lit(0))
+    return F.when(again, F.transform(F.array(pieces), parts)[0]).otherwise(F.array(m))
 
 
-def pseudonym(m: Column, key: str = KEY, undo: bool = False) -> Column:
+def pseudonym(m: Column, key: str, undo: bool = False) -> Column:
     """Kind and replacement of one candidate; a null kind if it is nothing."""
     out = None
     for kind, f in KINDS:
@@ -276,8 +304,8 @@ def pseudonym(m: Column, key: str = KEY, undo: bool = False) -> Column:
     return out.otherwise(F.struct(F.lit(None).cast("string").alias("kind"), m.alias("new")))
 
 
-def pseudonymize(docs: DataFrame, text: str = "text", key: str = KEY, undo: bool = False, kinds: str | None = None) -> DataFrame:
-    """The input with its text replaced; ``kinds`` names a column to add: what
+def pseudonymize(docs: DataFrame, key: str, text: str = "text", undo: bool = False, kinds: str | None = None) -> DataFrame:
+    """The input with its text replaced under the secret ``key``; ``kinds`` names a column to add: what
     was replaced, in the order of the text."""
     if kinds and free_name(docs, kinds) != kinds:
         raise ValueError(f"the input has a column {kinds} already")
@@ -293,7 +321,7 @@ def pseudonymize(docs: DataFrame, text: str = "text", key: str = KEY, undo: bool
     return rows.withColumn(held, F.coalesce(names, F.array().cast("array<string>"))) if kinds else rows.drop(held)
 
 
-def redact(docs: DataFrame, key: str = "doc_id", text: str = "text", secret: str = KEY) -> DataFrame:
+def redact(docs: DataFrame, secret: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """key, text, n_found and kinds (distinct, sorted, comma-joined) of every row."""
-    out = pseudonymize(docs.select(F.col(key), F.col(text)), text, secret, kinds="found")
+    out = pseudonymize(docs.select(F.col(key), F.col(text)), secret, text, kinds="found")
     return out.select(key, text, F.size("found").alias("n_found"), F.array_join(F.array_sort(F.array_distinct("found")), ",").alias("kinds"))
