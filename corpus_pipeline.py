@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netgeo.llm import decontamination, jaccard, language, packing, pii
-from netgeo.llm.queries import WORD_BPE
+from netgeo.llm.queries import WORD_BPE, pseudonym_key
 from netgeo.session import ensure_checkpoint_dir
 
 
@@ -37,7 +37,7 @@ def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str)
 
 def pii_pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data is replaced in every text; n_chars follows the text."""
-    out = pii.pseudonymize(docs)
+    out = pii.pseudonymize(docs, pseudonym_key(spark))
     return out.withColumn("n_chars", F.length("text").cast("bigint")).select(*docs.columns)
 
 
