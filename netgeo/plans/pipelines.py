@@ -14,7 +14,7 @@ from pyspark.ml.regression import DecisionTreeRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netgeo.operators import clean, features, hashed_text, knn, lookup, models, stats
+from netgeo.operators import clean, features, hashed_text, knn, lookup, models, neighbors, stats
 from netgeo.session import materialize
 from netgeo.sources import io
 
@@ -51,29 +51,37 @@ def tree_predictions(split: DataFrame) -> DataFrame:
 
 # --------------------------------------------------------------------------- KNN
 
-def knn_predictions(split: DataFrame, k: int = 7) -> DataFrame:
+def train_knn_family(split: DataFrame) -> dict:
+    """Preprocessing, the neighbour index of the training rows, and their targets."""
     train = split.filter(~F.col("is_test"))
-    test = split.filter(F.col("is_test"))
-    pre = models.fit_preprocess(train, features.MODEL_FEATURES["knn"], scale=True,
-                                text_features=200, n_max=1)
+    pre = models.fit_preprocess(train, features.MODEL_FEATURES["knn"], scale=True, text_features=200, n_max=1)
     lat_m, lon_m = table_means(split)
-    tr = materialize(pre.transform(train).select(
-        "range_id", LABEL, "reachable_flag",
-        F.coalesce("lat", F.lit(lat_m)).alias("lat_t"), F.coalesce("lon", F.lit(lon_m)).alias("lon_t"),
-        vector_to_array("features").alias("vec")))
-    te = pre.transform(test).select("range_id", LABEL, vector_to_array("features").alias("vec"))
-    nb = knn.topk_cosine(te, tr, k, "range_id", "range_id", "vec", "vec")
-    nl = nb.join(tr.select(F.col("range_id").alias("iid"), LABEL, "reachable_flag", "lat_t", "lon_t"), "iid")
-    city = knn.vote(nl, LABEL, k, "predicted")
-    reach = knn.vote(nl, "reachable_flag", k, "predicted_reachable")
-    lat = knn.mean_target(nl, "lat_t", "predicted_lat")
-    lon = knn.mean_target(nl, "lon_t", "predicted_lon")
-    out = city.join(reach, "qid").join(lat, "qid").join(lon, "qid")
-    return (test.select("range_id", F.col(LABEL).alias("actual"))
-            .join(out.withColumnRenamed("qid", "range_id"), "range_id", "left")
-            .select("range_id", "actual", "predicted", F.col("predicted_prob").alias("prob"),
-                    "predicted_lat", "predicted_lon",
-                    F.col("predicted_reachable").cast("int").alias("predicted_reachable")))
+    targets = materialize(train.select(
+        F.col("range_id").alias("iid"), LABEL, "reachable_flag", F.coalesce("lat", F.lit(lat_m)).alias("lat_t"), F.coalesce("lon", F.lit(lon_m)).alias("lon_t")))
+    return {"pre": pre, "index": neighbors.build(pre.transform(train).select("range_id", "features"), "range_id", "features"), "targets": targets}
+
+
+def knn_answers(bundle: dict, rows: DataFrame, k: int = 7, seen: dict | None = None) -> DataFrame:
+    """E7-E9 for rows with the model's feature columns and a ``range_id``: one
+    search for all four targets.  qid, predicted, prob, topk, predicted_lat,
+    predicted_lon, predicted_reachable."""
+    queries = bundle["pre"].transform(rows).select("range_id", "features")
+    near = materialize(neighbors.topk(bundle["index"], queries, "range_id", "features", k, seen).join(bundle["targets"], "iid"))
+    votes = near.groupBy("qid", LABEL).agg((F.count("*") / k).alias("prob"))
+    top = votes.groupBy("qid").agg(F.slice(F.sort_array(F.collect_list(F.struct((-F.col("prob")).alias("p"), F.col(LABEL).alias("city")))), 1, models.TOP_K).alias("t"))  # k at most
+    top = top.select("qid", F.transform("t", lambda x: F.struct(x["city"].alias("city"), (-x["p"]).alias("prob"))).alias("topk"))
+    means = near.groupBy("qid").agg(F.avg("lat_t").alias("predicted_lat"), F.avg("lon_t").alias("predicted_lon"))
+    reach = knn.vote(near, "reachable_flag", k, "predicted_reachable")
+    return top.join(means, "qid").join(reach, "qid").select(
+        "qid", F.col("topk")[0]["city"].alias("predicted"), F.col("topk")[0]["prob"].alias("prob"), "topk", "predicted_lat", "predicted_lon",
+        F.col("predicted_reachable").cast("int").alias("predicted_reachable"))
+
+
+def knn_predictions(split: DataFrame, k: int = 7, bundle: dict | None = None, seen: dict | None = None) -> DataFrame:
+    test = split.filter(F.col("is_test"))
+    out = knn_answers(bundle or train_knn_family(split), test, k, seen).withColumnRenamed("qid", "range_id")
+    return (test.select("range_id", F.col(LABEL).alias("actual")).join(out, "range_id", "left")
+            .select("range_id", "actual", "predicted", "prob", "predicted_lat", "predicted_lon", "predicted_reachable"))
 
 
 # --------------------------------------------------------------------------- hashed LR
@@ -165,35 +173,28 @@ def score_ips_with_trees(queries: DataFrame, lookup_df: DataFrame, split: DataFr
     return score_ips_with_bundle(queries, lookup_df, train_tree_family(split, max_depth))
 
 
-def score_ips_knn(queries: DataFrame, lookup_df: DataFrame, split: DataFrame, k: int = 7, mode: str = "nearest") -> DataFrame:
+ANSWER = ["predicted", "prob", "topk", "predicted_lat", "predicted_lon", "predicted_reachable"]
+
+
+def score_ips_knn_with_bundle(queries: DataFrame, lookup_df: DataFrame, bundle: dict, k: int = 7, mode: str = "nearest") -> DataFrame:
     """E10 for the KNN family: the k nearest training ranges of each distinct
     resolved record vote; top classes, coordinates and reachability as for trees."""
-    train = split.filter(~F.col("is_test"))
-    pre = models.fit_preprocess(train, features.MODEL_FEATURES["knn"], scale=True, text_features=200, n_max=1)
-    lat_m, lon_m = table_means(split)
-    items = materialize(pre.transform(train).select(
-        "range_id", LABEL, "reachable_flag", F.coalesce("lat", F.lit(lat_m)).alias("lat_t"),
-        F.coalesce("lon", F.lit(lon_m)).alias("lon_t"), vector_to_array("features").alias("vec")))
     feats = materialize(resolved_features(queries, lookup_df, mode).withColumnRenamed("range_id", "matched_id"))
     valid = feats.filter(F.col("ip_num").isNotNull())
     # a query's features depend on its record, or on the address itself without one
     one = F.coalesce(F.col("matched_id"), -1 - F.col("ip_num")).alias("range_id")
     distinct = valid.select(one, *[c for c in valid.columns if c not in ("query_id", "ip")]).dropDuplicates(["range_id"])
-    q = pre.transform(distinct).select("range_id", vector_to_array("features").alias("vec"))
-    near = knn.topk_cosine(q, items, k, "range_id", "range_id", "vec", "vec")
-    labelled = near.join(items.select(F.col("range_id").alias("iid"), LABEL, "reachable_flag", "lat_t", "lon_t"), "iid")
-    top = labelled.groupBy("qid", LABEL).agg((F.count("*") / k).alias("prob")).groupBy("qid").agg(
-        F.slice(F.sort_array(F.collect_list(F.struct((-F.col("prob")).alias("p"), F.col(LABEL).alias("city")))), 1, models.TOP_K).alias("t"))
-    top = top.select("qid", F.transform("t", lambda x: F.struct(x["city"].alias("city"), (-x["p"]).alias("prob"))).alias("topk"))
-    answers = (top.join(knn.vote(labelled, "reachable_flag", k, "predicted_reachable"), "qid")
-               .join(knn.mean_target(labelled, "lat_t", "predicted_lat"), "qid").join(knn.mean_target(labelled, "lon_t", "predicted_lon"), "qid"))
-    answers = answers.select(F.col("qid").alias("_one"), F.col("topk")[0]["city"].alias("predicted"), F.col("topk")[0]["prob"].alias("prob"), "topk",
-                             "predicted_lat", "predicted_lon", F.col("predicted_reachable").cast("int").alias("predicted_reachable"))
+    answers = knn_answers(bundle, distinct, k).withColumnRenamed("qid", "_one")
     cols = ["query_id", "ip", F.col("matched_id").alias("range_id"), "match_kind", "used_fallback", "error"]
-    out = valid.withColumn("_one", one).join(answers, "_one", "left").select(*cols, *answers.columns[1:])
+    out = valid.withColumn("_one", one).join(answers, "_one", "left").select(*cols, *ANSWER)
     return out.unionByName(feats.filter(F.col("ip_num").isNull()).select(*cols), allowMissingColumns=True)
 
 
+def score_ips_knn(queries: DataFrame, lookup_df: DataFrame, split: DataFrame, k: int = 7, mode: str = "nearest") -> DataFrame:
+    """Train, then ``score_ips_knn_with_bundle``."""
+    return score_ips_knn_with_bundle(queries, lookup_df, train_knn_family(split), k, mode)
+
+
 # --------------------------------------------------------------------------- S4/S5: bundles
 
 TREE_PARTS = {"city": DecisionTreeClassificationModel, "lat": DecisionTreeRegressionModel,
@@ -214,3 +215,15 @@ def load_tree_family(spark, path: str):
     fitted = {name: kind.load(f"{path}/{name}") for name, kind in TREE_PARTS.items()}
     fitted["labels"] = io.read_feature_config(spark, f"{path}/manifest")["labels"]
     return io.load_model(f"{path}/preprocess"), fitted
+
+
+def save_knn_family(spark, bundle: dict, path: str) -> None:
+    """Preprocessing, the bucketed neighbour index, the targets and a manifest in one folder."""
+    io.save_model(bundle["pre"], f"{path}/preprocess")
+    neighbors.save(bundle["index"], f"{path}/index")
+    bundle["targets"].write.mode("overwrite").parquet(f"{path}/targets")
+    io.write_feature_config(spark, f"{path}/manifest", {"model_type": "knn", "features": features.MODEL_FEATURES["knn"]})
+
+
+def load_knn_family(spark, path: str) -> dict:
+    return {"pre": io.load_model(f"{path}/preprocess"), "index": neighbors.load(spark, f"{path}/index"), "targets": spark.read.parquet(f"{path}/targets")}
