@@ -14,9 +14,10 @@ of the angle to the pivot less the block's angle.  A query first visits its
 most promising block, which gives its k-th score a floor, and then only blocks
 whose bound reaches the floor.  The result is exact.
 
-*LSH.*  ``lsh_topk`` gets the floor from several tables of signed random
-projections with multi-probe instead; a query is *certified* if no block's
-bound is above its k-th score, and the others are repaired by the search.
+*LSH.*  ``lsh_topk`` raises the floor by several tables of signed random
+projections with multi-probe; a query is *certified* if the bound of no block
+that it has not visited reaches its k-th score, and the others are repaired by
+visiting those blocks.
 
 Scores are rounded to 9 places, ties go by item id.  Null or empty vectors and
 vectors of length 0 score 0 with everything.
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from netgeo.session import materialize
 
-MAX_BLOCKS, MAX_DIMS, BLOCK_ROWS = 4096, 1024, 256
+MAX_BLOCKS, MAX_DIMS, BLOCK_ROWS = 4096, 1024, 48
 #: Queries of one block in one task; products at once.
 GROUP_QUERIES, AT_ONCE = 50_000, 1 << 22
 EPS = 1e-9
@@ -318,7 +319,7 @@ def _pairs(part: pa.RecordBatch, row: np.ndarray, block: np.ndarray) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(block.astype(np.int32)), *(part.column(i).take(at) for i in range(3))], names=["block", "qid", "dims", "weights"])
 
 
-def _open(index: Index, k: int, all_blocks: bool):
+def _open(index: Index, k: int):
     """(block, qid, dims, weights) of the blocks that may hold a better item
     than the query's k-th; those it has visited already are left out."""
     bounds, sizes = index.bounds(), index.blocks["n"]
@@ -330,11 +331,10 @@ def _open(index: Index, k: int, all_blocks: bool):
                 bound = bounds(Rows.of(part.column(1), part.column(2)))
                 floor = np.asarray(part.column(3))
                 go = (bound >= floor[:, None]) & (sizes > 0)
-                if not all_blocks:
-                    order = np.argsort(-bound, axis=1, kind="stable")
-                    before = np.cumsum(sizes[order], axis=1) - sizes[order]
-                    row, column = np.nonzero(before < k)
-                    go[row, order[row, column]] = False
+                order = np.argsort(-bound, axis=1, kind="stable")
+                before = np.cumsum(sizes[order], axis=1) - sizes[order]
+                row, column = np.nonzero(before < k)
+                go[row, order[row, column]] = False
                 yield _pairs(part, *np.nonzero(go))
 
     return fn
@@ -360,7 +360,7 @@ def topk(index: Index, queries: DataFrame, qid: str, vec: str, k: int, seen: dic
     q = materialize(unit_vectors(queries, qid, vec))
     pairs = materialize(q.mapInArrow(_promising(index, k), PAIRS))
     first = materialize(visit(index, pairs, k))
-    more = materialize(floors(q, first, k).mapInArrow(_open(index, k, False), PAIRS))
+    more = materialize(floors(q, first, k).mapInArrow(_open(index, k), PAIRS))
     if seen is not None:
         seen |= {"looked_at": pairs.count() + more.count(), "all": q.count() * int((index.blocks["n"] > 0).sum())}
     return ranked(first.unionByName(visit(index, more, k)), k)
@@ -399,7 +399,7 @@ def _hashed(n_tables: int, bits: int, probes: int, seed: int):
 
 
 def lsh_candidates(items: DataFrame, queries: DataFrame, k: int, n_tables: int = 12, bits: int | None = None, probes: int = 3, seed: int = 42,
-                   bucket_rows: int = 128) -> DataFrame:
+                   bucket_rows: int = 64) -> DataFrame:
     """(qid, iid, sim): the k best items of each query among those of its
     buckets.  Buckets are cut into parts, so that a full one is many tasks' work."""
     if bits is None:
@@ -419,10 +419,11 @@ def lsh_candidates(items: DataFrame, queries: DataFrame, k: int, n_tables: int =
 
 def lsh_topk(index: Index, queries: DataFrame, qid: str, vec: str, k: int, repair: bool = True, **options) -> DataFrame:
     """(qid, iid, sim, rank, certified).  Without ``repair`` the neighbours that
-    LSH finds; with it, queries that are not certified are searched again."""
+    LSH and the most promising block give; with it, queries that are not certified are searched again."""
     q = materialize(unit_vectors(queries, qid, vec))
-    found = materialize(ranked(lsh_candidates(index.items.select("id", "dims", "weights"), q, k, **options), k).drop("rank"))
-    more = materialize(floors(q, found, k).mapInArrow(_open(index, k, True), PAIRS))
+    found = lsh_candidates(index.items.select("id", "dims", "weights"), q, k, **options).unionByName(visit(index, q.mapInArrow(_promising(index, k), PAIRS), k))
+    found = materialize(ranked(found.dropDuplicates(["qid", "iid"]), k).drop("rank"))
+    more = materialize(floors(q, found, k).mapInArrow(_open(index, k), PAIRS))
     unsure = more.select("qid").distinct().withColumn("certified", F.lit(False))
     if repair:
         found = found.unionByName(visit(index, more, k)).dropDuplicates(["qid", "iid"])

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from netgeo.functions.ipfn import cidr_length, haversine_km, ip_to_long_or_zero, prefix24
 from netgeo.functions.text import cidr_class, rdns_tokens
-from netgeo.operators import clean, compare, evaluate, features, hashed_text, knn, lookup, stats
+from netgeo.operators import clean, compare, evaluate, features, hashed_text, knn, lookup, neighbors, stats
 from netgeo.session import materialize
 from netgeo.plans.sqlfrag import (lookup_ctes, queries_cte, s1_ctes, sql_cidr_length,
                                   sql_enhanced_text, sql_ipv4, sql_prefix24, sql_rdns_tokens,
@@ -636,6 +636,25 @@ def q_embedding_topk(spark, sf_dir):
     return nb.select("qid", "iid", F.round("sim", 6).alias("sim"), F.col("rank").cast("bigint").alias("rank"))
 
 
+@register("embedding_lsh_topk", _EMB_SQL + """
+SELECT qid, iid, round(sim, 6) AS sim, rank FROM nb""")
+def q_embedding_lsh_topk(spark, sf_dir):
+    """E7 by LSH tables with multi-probe; queries that no bound certifies are
+    repaired by a search of the blocks that may hold something better."""
+    emb = fixtures.table(spark, sf_dir, "embeddings")
+    nb = neighbors.lsh_topk(neighbors.build(emb, "vec_id", "embedding"), emb, "vec_id", "embedding", KNN_K)
+    return nb.select("qid", "iid", F.round("sim", 6).alias("sim"), F.col("rank").cast("bigint").alias("rank"))
+
+
+@register("embedding_lsh_recall")
+def q_embedding_lsh_recall(spark, sf_dir):
+    """Recall of the 7 nearest by LSH alone, before any repair, against the exact search."""
+    emb = fixtures.table(spark, sf_dir, "embeddings")
+    index = neighbors.build(emb, "vec_id", "embedding")
+    found = neighbors.lsh_topk(index, emb, "vec_id", "embedding", KNN_K, repair=False)
+    return neighbors.recall(found, neighbors.topk(index, emb, "vec_id", "embedding", KNN_K), KNN_K)
+
+
 @register("embedding_knn_vote", _EMB_SQL + f""",
 votes AS (SELECT qid, label, count(*) AS votes FROM nb GROUP BY qid, label),
 best AS (SELECT qid, label AS pred, votes FROM (
