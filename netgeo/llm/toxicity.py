@@ -37,7 +37,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from netgeo.llm.common import free_name, runs, saved
@@ -80,43 +80,44 @@ class Index:
         self.at = np.append(starts, len(cell))
         self.in_block = cell[starts] % max(self.n_blocks, 1)
         self.of_term = np.searchsorted(cell[starts] // max(self.n_blocks, 1), np.arange(n_terms + 1))
+        self.held = self.counts.sum(axis=1) if len(order) else np.zeros(0, np.int64)
         self.scored = self.passed = 0
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """Places and similarities of the vectors that stand for the k nearest
         examples, best first; ``without``: one example of that place is left out."""
-        bound, cells = np.zeros(self.n_blocks), []
-        for t, w in zip(terms.tolist(), weights.tolist()):
-            own = slice(self.of_term[t], self.of_term[t + 1])
-            bound[self.in_block[own]] += w * self.most[own]
-            cells.append((own.start, self.in_block[own], w))
-        todo = np.argsort(-bound, kind="stable")
-        places, sims, least = [], [], 0.0
-        for b in todo[: np.count_nonzero(bound)].tolist():
-            if bound[b] < least - 1e-9:
-                self.passed += 1
-                continue
-            self.scored += 1
-            score = np.zeros(self.block)
-            for start, blocks, w in cells:
-                i = np.searchsorted(blocks, b)
-                if i < len(blocks) and blocks[i] == b:
-                    part = slice(self.at[start + i], self.at[start + i + 1])
-                    score[self.place[part] - b * self.block] += w * self.weight[part]
-            hit = np.flatnonzero(score > 0)
-            places.append(hit + b * self.block)
-            sims.append(np.round(score[hit], 12))
-            least = self._kth(np.concatenate(places), np.concatenate(sims), k, without)
-        if not places:
-            return np.zeros(0, np.int64), np.zeros(0)
-        places, sims = np.concatenate(places), np.concatenate(sims)
+        cells = np.concatenate([np.arange(self.of_term[t], self.of_term[t + 1]) for t in terms.tolist()] or [np.zeros(0, np.int64)])
+        own = np.repeat(weights, self.of_term[terms + 1] - self.of_term[terms]) if len(terms) else np.zeros(0)
+        block = self.in_block[cells]
+        bound = np.bincount(block, own * self.most[cells], self.n_blocks)
+        todo = np.argsort(-bound, kind="stable")[: np.count_nonzero(bound)]
+        places, sims, least, size = np.zeros(0, np.int64), np.zeros(0), 0.0, 1
+        while len(todo):
+            # from the largest bound down, more blocks at a time, as long as one may hold a k-th
+            now, todo = todo[:size], todo[size:]
+            some = np.zeros(self.n_blocks, bool)
+            some[now] = True
+            at, score = self._scored(cells[some[block]], own[some[block]])
+            self.scored += len(now)
+            places, sims = np.concatenate([places, at]), np.concatenate([sims, score])
+            least = self._kth(places, sims, k, without)
+            open_ = bound[todo] >= least - 1e-9
+            self.passed += int(len(todo) - np.count_nonzero(open_))
+            todo, size = todo[open_], size * 4
         keep = sims >= least
         order = np.lexsort((places[keep], -sims[keep]))
         return places[keep][order], sims[keep][order]
 
+    def _scored(self, cells: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The similarity of every vector with a posting in these cells."""
+        n = self.at[cells + 1] - self.at[cells]
+        post = np.repeat(self.at[cells] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        places, back = np.unique(self.place[post], return_inverse=True)
+        return places, np.round(np.bincount(back, np.repeat(weights, n) * self.weight[post], len(places)), 12)
+
     def _kth(self, places: np.ndarray, sims: np.ndarray, k: int, without: int) -> float:
         order = np.argsort(-sims, kind="stable")
-        n = np.cumsum(self.counts[places[order]].sum(axis=1) - (places[order] == without))
+        n = np.cumsum(self.held[places[order]] - (places[order] == without))
         i = int(np.searchsorted(n, k))
         return float(sims[order[i]]) if i < len(n) else 0.0
 
@@ -255,8 +256,9 @@ def choose(rows: DataFrame, n: dict[int, int], max_terms: int) -> dict[bytes, in
     return {bytes(r["term"]): i for i, r in enumerate(ratio.orderBy(F.desc("g"), "term").limit(max_terms).collect())}
 
 
-def build(known: list, df: dict[int, int], n_docs: int, terms: dict[bytes, int], stands: dict[int, float], k: int = K) -> Model:
-    """``known``: (key, label, terms, tf) of the examples."""
+def build(known: list, df: dict[int, int], n_docs: int, terms: dict[bytes, int], stands: dict[int, float], k: int = K) -> tuple[Model, list, float]:
+    """``known``: (key, label, terms, tf) of the examples.  The model without its
+    curve, its vectors by place, and the share of toxic rows."""
     idf = np.array([math.log((1 + n_docs) / (1 + df.get(i, 0))) + 1 for i in range(len(terms))])
     rates = np.array([stands.get(0, 1.0), stands.get(1, 1.0)])
     groups: dict[tuple, list[list]] = {}
@@ -274,20 +276,34 @@ def build(known: list, df: dict[int, int], n_docs: int, terms: dict[bytes, int],
     model.index = index = Index([model.vector(*x) for x in raw], counts, len(terms))
     members = list(groups.values())
     model.ids = [sum(members[i], [])[:3] for i in index.order.tolist()]
-    shares, toxic, weight = [], [], []
-    for place, i in enumerate(index.order.tolist()):
-        near = index.nearest(*model.vector(*raw[i]), k, place)
+    return model, [raw[i] for i in index.order.tolist()], base
+
+
+def own_shares(model: Model, vectors: list, places: list[int]):
+    """(place, label, share, weight): the votes on the examples themselves,
+    each without itself."""
+    for place in places:
+        near = model.index.nearest(*model.vector(*vectors[place]), model.k, place)
         for label in (0, 1):
-            if counts[i][label]:
-                share = model.share(*near, (place, label))
-                if share is not None:
-                    shares.append(share)
-                    toxic.append(float(label))
-                    weight.append(counts[i][label] * rates[label])
-    if shares:
+            n = int(model.index.counts[place][label])
+            share = model.share(*near, (place, label)) if n else None
+            if share is not None:
+                yield place, label, share, n * model.rates[label]
+
+
+def calibrate(spark: SparkSession, model: Model, vectors: list, base: float) -> None:
+    """The curve from vote shares to probabilities; tasks vote, the driver gets
+    two rows a vector at most."""
+    def voted(batches):
+        for batch in batches:
+            rows = list(own_shares(model, vectors, batch.column(0).to_pylist()))
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.float64(), pa.float64()))], names=["place", "label", "share", "weight"])
+
+    tasks = max(1, min(64, len(vectors) // 100))
+    rows = sorted(spark.range(0, len(vectors), 1, tasks).mapInArrow(voted, "place long, label long, share double, weight double").collect())
+    if rows:
         # an example of the base rate at either end keeps certainty out of small samples
-        model.curve = monotone(np.array([0.0, *shares, 1.0]), np.array([base, *toxic, base]), np.array([1.0, *weight, 1.0]))
-    return model
+        model.curve = monotone(*(np.array(x, float) for x in ([0.0, *(r[2] for r in rows), 1.0], [base, *(r[1] for r in rows), base], [1.0, *(r[3] for r in rows), 1.0])))
 
 
 def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label: str = "toxic", max_examples: int = MAX_EXAMPLES,
@@ -305,7 +321,8 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
     own = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     vectors = saved(own.mapInArrow(_vectors(terms, ["key"]), f"key {kind}, terms array<int>, tf array<bigint>"), "vectors")
     df = {r["t"]: r["n"] for r in vectors.select(F.explode("terms").alias("t")).groupBy("t").agg(F.count("*").alias("n")).collect()}
-    model = build([tuple(r) for r in known], df, vectors.count(), terms, stands, k)
+    model, own, base = build([tuple(r) for r in known], df, vectors.count(), terms, stands, k)
+    calibrate(docs.sparkSession, model, own, base)
 
     def scored(batches):
         seen: dict[tuple, tuple[float, list]] = {}
