@@ -9,7 +9,9 @@ same names in the builder and in its oracle.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from functools import partial, reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 from netgeo.functions.ipfn import cidr_length, haversine_km, ip_to_long_or_zero, prefix24
 from netgeo.functions.text import cidr_class, rdns_tokens
 from netgeo.operators import clean, compare, evaluate, features, hashed_text, knn, lookup, neighbors, stats
-from netgeo.session import materialize
+from netgeo.session import ensure_checkpoint_dir, materialize
 from netgeo.plans.sqlfrag import (lookup_ctes, queries_cte, s1_ctes, sql_cidr_length,
                                   sql_enhanced_text, sql_ipv4, sql_prefix24, sql_rdns_tokens,
                                   with_fixture)
@@ -793,6 +795,66 @@ def q_score_ips_knn(spark, sf_dir):
     return pipelines.score_ips_knn(query_table(spark, sf_dir), lookup_table(spark, sf_dir), split_frame(spark, sf_dir))
 
 
+# ----------------------------------------------------------------- saved bundles: E10, J11, V1-V4 on trained models
+
+#: Folders of the bundles that this process has saved, by application, input and family.
+_SAVED: dict[tuple[str, str, str], str] = {}
+
+
+def bundle(spark, sf_dir, kind: str):
+    """The family, trained and saved at the first call and loaded at every later one."""
+    from netgeo.plans import families
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _SAVED:
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/bundle-{kind}-{uuid.uuid4().hex}"
+        families.save(spark, families.FIT[kind](split_frame(spark, sf_dir)), path)
+        _SAVED[key] = path
+    return families.load(spark, _SAVED[key])
+
+
+def _score_with(spark, sf_dir, kind: str) -> DataFrame:
+    from netgeo.plans import families
+    return families.score_ips(bundle(spark, sf_dir, kind), families.resolved(query_table(spark, sf_dir), lookup_table(spark, sf_dir), "exact"))
+
+
+@register("score_ips_rbf")
+def q_score_ips_rbf(spark, sf_dir):
+    """E10 for the RBF family from its saved pipeline: top 5 cities and the matched record."""
+    return _score_with(spark, sf_dir, "rbf")
+
+
+@register("score_ips_boosted")
+def q_score_ips_boosted(spark, sf_dir):
+    """E10 for the boosted family from its saved pipeline."""
+    return _score_with(spark, sf_dir, "boosted")
+
+
+@register("compare_trained")
+def q_compare_trained(spark, sf_dir):
+    """J11 + V5 over the four trained families: one resolve, one row per (IP, model)."""
+    from netgeo.plans import families
+    return families.compare_trained(query_table(spark, sf_dir), lookup_table(spark, sf_dir),
+                                    {kind: partial(bundle, spark, sf_dir, kind) for kind in ("boosted", "rbf", "knn", "tree")})
+
+
+@register("model_quality")
+def q_model_quality(spark, sf_dir):
+    """V1 + V3 of every saved family on the held-out rows."""
+    from netgeo.plans import families
+    split = split_frame(spark, sf_dir)
+    rows = [families.quality(families.predictions(bundle(spark, sf_dir, kind), split)).withColumn("model", F.lit(kind)) for kind in ("boosted", "rbf", "knn", "tree")]
+    return reduce(DataFrame.unionByName, rows)
+
+
+@register("model_report")
+def q_model_report(spark, sf_dir):
+    """V2 of every saved family on the held-out rows."""
+    from netgeo.plans import families
+    split = split_frame(spark, sf_dir)
+    rows = [evaluate.classification_report(families.predictions(bundle(spark, sf_dir, kind), split), "actual", "predicted").withColumn("model", F.lit(kind)) for kind in ("boosted", "rbf", "knn", "tree")]
+    return reduce(DataFrame.unionByName, rows)
+
+
 # ----------------------------------------------------------------- flagship (entry)
 
 def flagship(spark, sf_dir) -> DataFrame:
