@@ -8,7 +8,9 @@ that AQE may broadcast (runtime size check) or split when skewed.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import uuid
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -135,13 +137,31 @@ def impute_median(df: DataFrame, cols: list[str]) -> DataFrame:
                        if c in meds else F.col(c) for c in df.columns])
 
 
-def profile(df: DataFrame, n_filtered: DataFrame | None = None) -> DataFrame:
+def profile(df: DataFrame) -> DataFrame:
     """One-pass profile of the hashed-text table."""
-    aggs = [F.count(F.lit(1)).alias("n_rows"),
+    return df.agg(*_profile_columns())
+
+
+def _profile_columns() -> list[Column]:
+    return [F.count(F.lit(1)).alias("n_rows"),
             F.countDistinct("prefix24_token").alias("n_prefix24"),
             F.countDistinct("asn_key").alias("n_asn"),
             F.countDistinct("city").alias("n_city"),
             F.avg("prefix24_count").alias("avg_prefix24_count"),
             F.avg("asn_count").alias("avg_asn_count"),
             F.avg("prefix24_stability").alias("avg_prefix24_stability")]
-    return df.agg(*aggs)
+
+
+def profile_filtered(rows: DataFrame, keep: DataFrame, on: str) -> DataFrame:
+    """S8 with the counts before and after a filter: the profile of the rows
+    whose ``on`` is in ``keep``, and, from ``Observation`` metrics of the same
+    pass, how many rows and cities there were before and how many rows are left."""
+    spark = rows.sparkSession
+    before, after = Observation(f"before-{uuid.uuid4().hex}"), Observation(f"after-{uuid.uuid4().hex}")
+    counts = [F.count(F.lit(1)).alias("n_before"), F.count("city").alias("n_with_city_before")]
+    kept = rows.observe(before, *counts).join(keep.select(on), on, "left_semi").observe(after, F.count(F.lit(1)).alias("n_after"))
+    row = kept.agg(*_profile_columns()).first().asDict()
+    # an empty filter lets the planner skip the pass, and with it the metrics
+    seen = before.get if row["n_rows"] else rows.agg(*counts).first().asDict()
+    values = {**row, **seen, "n_after": after.get["n_after"] if row["n_rows"] else 0}
+    return spark.createDataFrame([tuple(values.values())], ", ".join(f"{c} {'double' if c.startswith('avg') else 'bigint'}" for c in values))

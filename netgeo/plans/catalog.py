@@ -343,6 +343,23 @@ def q_profile(spark, sf_dir):
                       ("avg_prefix24_count", "avg_asn_count", "avg_prefix24_stability")])
 
 
+@register("profile_filtered", with_fixture(s1_ctes()) + """,
+often AS (SELECT city FROM s1f WHERE city IS NOT NULL GROUP BY city HAVING count(*) >= 2),
+kept AS (SELECT s1f.* FROM s1f SEMI JOIN often USING (city))
+SELECT count(*) AS n_rows, count(DISTINCT prefix24_token) AS n_prefix24,
+       count(DISTINCT asn_key) AS n_asn, count(DISTINCT city) AS n_city,
+       round(avg(prefix24_count), 6) AS avg_prefix24_count, round(avg(asn_count), 6) AS avg_asn_count,
+       round(avg(prefix24_stability), 6) AS avg_prefix24_stability,
+       (SELECT count(*) FROM s1f) AS n_before, (SELECT count(city) FROM s1f) AS n_with_city_before, count(*) AS n_after
+FROM kept""")
+def q_profile_filtered(spark, sf_dir):
+    """The profile after the rare-city filter, with the counts before and after it."""
+    rows = hashed_text.with_frequencies(hashed_text.read_table(raw_ranges(spark, sf_dir)))
+    often = clean.label_counts(hashed_text.read_table(raw_ranges(spark, sf_dir)), "city").where("n >= 2")
+    p = stats.profile_filtered(rows, often, "city")
+    return p.select(*[F.round(c, 6).alias(c) if c.startswith("avg") else F.col(c) for c in p.columns])
+
+
 # ----------------------------------------------------------------- step 5: geography
 
 _CENTROID_SQL = """,

@@ -8,13 +8,17 @@ from pyspark.sql import functions as F
 from netgeo.functions.ipfn import haversine_km
 from netgeo.operators import rbf
 from netgeo.plans import catalog, families, pipelines
+from netgeo.session import materialize
 from netgeo.sources import io
 from tests.conftest import SF_SMALL
 
 
 @pytest.fixture(scope="module")
 def split(spark):
-    return catalog.split_frame(spark, SF_SMALL)
+    """The rows of six cities: one-vs-rest trains a model for each."""
+    whole = catalog.split_frame(spark, SF_SMALL)
+    few = [r[0] for r in whole.groupBy(families.LABEL).count().orderBy(F.desc("count"), families.LABEL).limit(6).collect()]
+    return materialize(whole.where(F.col(families.LABEL).isin(few)))
 
 
 @pytest.fixture(scope="module")
@@ -104,3 +108,50 @@ def test_quality(split, bundles):
     assert abs(q["accuracy"] - sum(r["actual"] == r["predicted"] for r in rows) / len(rows)) < 1e-12
     errors = [(r["lat"] - r["predicted_lat"]) ** 2 for r in rows if r["lat"] is not None]
     assert abs(q["rmse_lat"] - (sum(errors) / len(errors)) ** 0.5) < 1e-9
+
+
+# --- streams ----------------------------------------------------------------------
+
+def test_scored_stream_survives_a_kill_and_takes_new_versions(spark, bundles, tmp_path):
+    from netgeo.streaming.score_stream import publish, start_scored_stream
+    queries, lk = catalog.query_table(spark, SF_SMALL).limit(400), catalog.lookup_table(spark, SF_SMALL)
+    src, out, versions, ck = (str(tmp_path / x) for x in ("src", "out", "versions", "ck"))
+    lk.write.parquet(str(tmp_path / "lookup"))
+    lk.where("range_id % 2 = 0").write.parquet(str(tmp_path / "half"))
+    families.save(spark, bundles["tree"][0], str(tmp_path / "trees"))
+    publish(spark, versions, 1, str(tmp_path / "lookup"), str(tmp_path / "trees"))
+    for n in range(4):
+        queries.where(F.pmod(F.col("query_id"), F.lit(4)) == n).coalesce(1).write.mode("append").parquet(src)
+    died = []
+
+    def die(epoch):
+        if epoch == 1 and not died:
+            died.append(epoch)
+            publish(spark, versions, 2, str(tmp_path / "half"), str(tmp_path / "trees"))
+            raise RuntimeError("killed after its answers were written")
+
+    def run(after):
+        q = start_scored_stream(spark, src, "query_id long, ip string", versions, out, ck, max_files_per_trigger=1, available_now=True, after=after)
+        q.awaitTermination()
+
+    with pytest.raises(Exception, match="killed"):
+        run(die)
+    run(die)
+    got = spark.read.parquet(out)
+    assert died == [1] and got.count() == queries.count() and {r["epoch"] for r in got.select("epoch").distinct().collect()} == {0, 1, 2, 3}
+    # the replayed epoch keeps the version it was pinned to; later ones take the new one
+    assert {(r["epoch"], r["version"]) for r in got.select("epoch", "version").distinct().collect()} == {(0, 1), (1, 1), (2, 2), (3, 2)}
+    cols = ["query_id", "range_id", "predicted", "prob", "error"]
+    for version, table in ((1, lk), (2, lk.where("range_id % 2 = 0"))):
+        part = got.where(F.col("version") == version)
+        own = queries.join(part.select("query_id"), "query_id", "left_semi")
+        batch = families.score_ips(bundles["tree"][1], families.resolved(own, table))
+        assert sorted(map(tuple, part.select(cols).collect()), key=str) == sorted(map(tuple, batch.select(cols).collect()), key=str)
+
+
+def test_profile_of_an_empty_filter(spark):
+    from netgeo.operators import hashed_text, stats
+    rows = hashed_text.with_frequencies(hashed_text.read_table(catalog.raw_ranges(spark, SF_SMALL)))
+    none = rows.select("city").where("false")
+    r = stats.profile_filtered(rows, none, "city").first()
+    assert r["n_rows"] == r["n_after"] == 0 and r["n_before"] == rows.count()
