@@ -1,8 +1,9 @@
 """Toxicity by the nearest labelled examples, found by exact TF-IDF cosine.
 
 * *Examples.*  At most ``max_examples`` labelled rows of each label, those with
-  the smallest hashes of their keys; rows whose texts have the same words are
-  one.  An example stands for as many labelled rows as its label's share says.
+  the smallest hashes of their keys; of near copies, which share their smallest
+  word hashes, one is kept, or their rare words would look like signs of their
+  label.  An example stands for as many labelled rows as its label's share says.
 * *Terms.*  The words and their first ``PREFIXES`` bytes that go with the
   toxic label among the examples: log-likelihood ratio over ``2 ln m`` for m
   terms looked at, so that chance alone leaves about one; at most ``max_terms``,
@@ -43,7 +44,7 @@ from pyspark.sql import functions as F
 from netgeo.llm.common import free_name, runs, saved
 from netgeo.llm.divergence import count_words
 
-MAX_EXAMPLES, MAX_TERMS = 8000, 8192
+MAX_EXAMPLES, MAX_TERMS = 3000, 1024
 K, NEAR, THRESHOLD = 15, 0.1, 0.3
 PREFIXES = (5, 7)
 BLOCK = 64
@@ -224,9 +225,8 @@ def _vectors(terms: dict[bytes, int], names: list[str]):
     return vectors
 
 
-def examples(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, max_examples: int) -> tuple[DataFrame, dict[int, int], dict[int, float]]:
-    """(key, label, text) of the examples, how many rows of each label may teach,
-    and for how many of them an example stands."""
+def examples(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str, max_examples: int) -> tuple[DataFrame, dict[int, int]]:
+    """(key, label, text) of the examples, and how many rows of each label may teach."""
     may = (labels.select(F.col(f"`{key}`").alias("key"), F.col(f"`{label}`").cast("int").alias("label"))
            .where(F.col("key").isNotNull() & F.col("label").isin(0, 1) & ~held_out("key")).groupBy("key").agg(F.max("label").alias("label")))
     n = {r["label"]: r["n"] for r in may.groupBy("label").agg(F.count("*").alias("n")).collect()}
@@ -241,7 +241,15 @@ def examples(docs: DataFrame, labels: DataFrame, key: str, text: str, label: str
         picked = may
     rows = docs.select(F.col(f"`{key}`").alias("key"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text")).join(F.broadcast(picked), "key")
     rows = saved(rows.groupBy("key", "label").agg(F.min_by("text", F.xxhash64("text")).alias("text")), "examples")
-    return rows, n, {x: max(1.0, c / max_examples) for x, c in n.items()}
+    return rows, n
+
+
+def _sketch(text: Column) -> Column:
+    """The smallest hash of a text's words in each of two halves: copies with a
+    few changes mostly keep both."""
+    hashes = F.transform(F.split(F.lower(text), r"\s+"), lambda w: F.xxhash64(w))
+    half = lambda k: F.array_min(F.filter(hashes, lambda h: F.pmod(h, F.lit(2)) == k))
+    return F.struct(half(0).alias("a"), half(1).alias("b"), F.when(F.size(hashes) < 20, text).alias("short"))
 
 
 def choose(rows: DataFrame, n: dict[int, int], max_terms: int) -> dict[bytes, int]:
@@ -310,11 +318,12 @@ def score(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "
           max_terms: int = MAX_TERMS, k: int = K, threshold: float = THRESHOLD) -> DataFrame:
     """key, held_out, score, predicted and evidence (ids and similarities of
     the nearest examples) of every row of ``docs``."""
-    rows, n, stands = examples(docs, labels, key, text, label, max_examples)
+    rows, n = examples(docs, labels, key, text, label, max_examples)
     kind = docs.schema[key].dataType.simpleString()
-    rows = rows.withColumn("digest", F.xxhash64("text"))
+    rows = rows.withColumn("digest", _sketch(F.col("text")))
     rows = rows.groupBy("digest", "label").agg(F.min(F.struct("key", "text")).alias("x")).select("x.key", "label", "x.text")
     found = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    stands = {x: n[x] / c for x, c in found.items()}
     terms = choose(rows, found, max_terms)
     known = rows.mapInArrow(_vectors(terms, ["key", "label"]), f"key {kind}, label int, terms array<int>, tf array<bigint>").collect()
 
