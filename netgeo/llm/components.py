@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netgeo.llm.common import saved
+from netgeo.llm.common import discard, saved
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -23,7 +23,8 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = (large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
                  .unionByName(least.select("a", F.col("m").alias("b"))).where("a <> b").distinct())
-        edges, before = saved(small, "links"), state
+        last, edges, before = edges, saved(small, "links"), state
+        discard(last)
         state = _state(edges)
         if state == before:
             roots = edges.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct()

@@ -13,6 +13,10 @@ B|``; then at most ``s * (den - num) / num`` tokens differ.
   one holds its bound (pigeonhole).  A one-slot segment is indexed by its own
   subset of the tokens, a two-slot segment also by all its one-deletion
   neighbours.
+* *Empty segments* say nothing, and most sets have some.  The segments stand in
+  a ring, and the pigeonring principle gives a segment that holds its bound
+  such that it and the next one together hold theirs plus one: an empty segment
+  is therefore indexed with the next one's subset and one-deletion neighbours.
 * *Allocation.*  How many segments get two slots is chosen for each band by
   cost: entries written against candidate pairs expected, from the band's
   number of sets and the chance that two of its sets share a token, which
@@ -44,7 +48,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netgeo.llm.common import free_name, runs, saved
+from netgeo.llm.common import discard, free_name, runs, saved
 from netgeo.llm.components import components
 from netgeo.llm.repeats import BLOCK_BYTES, answered, blocks, mix
 
@@ -54,7 +58,7 @@ STAR_ROUNDS = 3
 PAIR_COST = 50.0
 SKETCH_BITS = 1024
 
-_S1, _S2, _SEG, _BAND = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3))
+_S1, _S2, _SEG, _BAND, _RING = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0xA24BAED4963EE407))
 _WORD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63))
 
 
@@ -143,10 +147,21 @@ class Scheme:
         inside = mix(tokens ^ _S1)
         np.add.at(sums, cell, inside)
         owner = np.repeat(np.arange(len(who)), segments)
-        place = (np.arange(len(sums)) - begin[owner]).astype(np.uint64) * _S2 + (band[who][owner] + 1).astype(np.uint64) * _BAND
+        nth = np.arange(len(sums)) - begin[owner]
+        place = nth.astype(np.uint64) * _S2 + (band[who][owner] + 1).astype(np.uint64) * _BAND
         drop = segment < two[row]
         shorter = mix((sums[cell[drop]] - inside[drop]) ^ place[cell[drop]])
-        return np.concatenate([mix(sums ^ place), shorter]), who[np.concatenate([owner, row[drop]])]
+        # an empty one-slot segment goes with the next one, if that has one slot too
+        last = nth + 1 == segments[owner]
+        following = np.where(last, begin[owner], np.arange(len(sums)) + 1)
+        empty = (np.bincount(cell, minlength=len(sums)) == 0) & (nth >= two[owner]) & (~last | (two[owner] == 0)) & (segments[owner] > 1)
+        before = np.full(len(sums), -1)
+        before[following[empty]] = np.flatnonzero(empty)
+        one_less = before[cell] >= 0
+        ring = np.concatenate([sums[following[empty]], sums[cell[one_less]] - inside[one_less]])
+        at = np.concatenate([np.flatnonzero(empty), before[cell[one_less]]])
+        return (np.concatenate([mix(sums ^ place)[~empty], shorter, mix(mix(ring ^ _RING) ^ place[at])]),
+                who[np.concatenate([owner[~empty], row[drop], owner[at]])])
 
 
 def _class_of(s: np.ndarray) -> bytes:
@@ -206,34 +221,41 @@ def _link(members: DataFrame, sets: DataFrame, num: int, den: int, star_rounds:
     size = members.groupBy("signature").agg(F.count("*").alias("n"))
     weight = members.join(size, "signature").groupBy("id").agg(F.sum(F.col("n") - 1).alias("weight"))
     members = saved(members.join(weight, "id"), "members")
+    sketches = sets.select("id", "n", "sketch")
     links = found = tried = centres = None
     for turn in range(star_rounds + 1):
         with_component = lambda df: (df.withColumn("component", F.col("id")) if found is None else
                                      df.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")))
         state = with_component(members)
         spread = state.groupBy("signature").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
-        state = state.join(spread.where("c0 <> c1").select("signature"), "signature")
-        state = saved(state.join(sets.select("id", "n", "sketch"), "id"), "open")
+        state = saved(state.join(spread.where("c0 <> c1").select("signature"), "signature"), "open")
         if state.isEmpty():
             break
         if turn < star_rounds:  # the heaviest member of a component that has had no centre yet
             left = state if centres is None else state.join(with_component(centres).select("signature", "component"), ["signature", "component"], "left_anti")
-            centre = saved(left.groupBy("signature").agg(F.max_by(F.struct("id", "component", "n", "sketch"), F.struct("weight", "id")).alias("c"))
-                           .select("signature", F.col("c.id").alias("centre"), F.col("c.component").alias("own"), F.col("c.n").alias("_n"), F.col("c.sketch").alias("_sketch")), "centres")
-            pairs = state.join(centre, "signature").where(F.expr("component <> own") & _may_link("", "_", num, den)).select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
+            centre = saved(left.groupBy("signature").agg(F.max_by(F.struct("id", "component"), F.struct("weight", "id")).alias("c"))
+                           .select("signature", F.col("c.id").alias("centre"), F.col("c.component").alias("own")), "centres")
+            pairs = state.join(centre, "signature").where("component <> own").select(F.least("id", "centre").alias("a"), F.greatest("id", "centre").alias("b"))
             new = centre.select("signature", F.col("centre").alias("id"))
             centres = new if centres is None else centres.unionByName(new)
+            pairs = pairs.distinct()
         else:  # whatever is open still
-            left = state.select("signature", F.col("id").alias("a"), "component", "n", "sketch")
-            right = state.select("signature", F.col("id").alias("b"), F.col("component").alias("other"), F.col("n").alias("_n"), F.col("sketch").alias("_sketch"))
-            pairs = left.join(right, "signature").where(F.expr("a < b and component <> other") & _may_link("", "_", num, den)).select("a", "b")
-        pairs = pairs.distinct() if tried is None else pairs.distinct().join(tried, ["a", "b"], "left_anti")
+            thin = state.join(sketches, "id")
+            left = thin.select("signature", F.col("id").alias("a"), "component", "n", "sketch")
+            right = thin.select("signature", F.col("id").alias("b"), F.col("component").alias("other"), F.col("n").alias("_n"), F.col("sketch").alias("_sketch"))
+            pairs = left.join(right, "signature").where(F.expr("a < b and component <> other") & _may_link("", "_", num, den)).select("a", "b").distinct()
+        pairs = pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti")
         pairs = saved(pairs, "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
-        fresh = saved(_verified(pairs, sets, num, den), "verified")
+        near = (pairs.join(sketches.withColumnRenamed("id", "a"), "a").join(sketches.select(F.col("id").alias("b"), F.col("n").alias("_n"), F.col("sketch").alias("_sketch")), "b")
+                .where(_may_link("", "_", num, den)).select("a", "b"))
+        fresh = saved(_verified(near, sets, num, den), "verified")
+        discard(state)
         if not fresh.isEmpty():
             links = fresh if links is None else links.unionByName(fresh)
-            found = saved(components(links), "components")
+            before, found = found, saved(components(links), "components")
+            discard(before)
+    discard(members, state)
     return found
 
 
@@ -282,11 +304,16 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
 
     entries = total * 9 * (den - num) // (50 * num) * 2  # about a signature for num / (den - num) shingles, in one scheme or two
     gathered = answered(dealt, entries, hashes, gather, "class binary, tokens binary, signatures array<bigint>, n bigint, sketch array<bigint>")
-    gathered = saved(gathered.join(classes.select("class", "id"), "class").select("id", "tokens", "signatures", "n", "sketch"), "sets")
-    sets = gathered.groupBy("id").agg(*(F.first(c).alias(c) for c in ("tokens", "n", "sketch")))
+    gathered = saved(gathered.join(classes.select("class", "id"), "class").select("id", "tokens", "signatures", "n", "sketch"), "gathered")
     members = gathered.select("id", F.explode("signatures").alias("signature")).distinct()
     many = members.groupBy("signature").agg(F.count("*").alias("n")).where("n > 1").select("signature")
-    found = _link(saved(members.join(many, "signature"), "members"), sets, num, den, star_rounds)
+    members = saved(members.join(many, "signature"), "members")
+    # one row a class, and only of classes that share a signature with another one
+    sets = gathered.select("id", "tokens", "n", "sketch").join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    sets = saved(sets, "sets")
+    discard(gathered)
+    found = _link(members, sets, num, den, star_rounds)
+    discard(sets, members)
 
     ids = classes.select("class", "id", "least_key", F.col("id").alias("component"))
     if found is not None:
