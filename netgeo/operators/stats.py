@@ -15,11 +15,14 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from netgeo.functions.ipfn import prefix24
+from netgeo.session import materialize
 
 # Buckets used by the exact quantile: the distinct values are cut into this
 # many ranges by approximate quantiles, only the range holding the wanted rank
 # is ordered exactly.
 QUANTILE_BUCKETS = 1000
+#: Of the quantile sketches: ranks are right to one in so many.
+SKETCH_ACCURACY = 20_000
 
 
 def prefix24_counts(df: DataFrame, ip_col: str = "ip_start") -> DataFrame:
@@ -130,9 +133,46 @@ def exact_quantile(df: DataFrame, col: str, q: float = 0.5) -> float | None:
     return lo_v + (hi_v - lo_v) * (pos - lo_r)
 
 
+def exact_quantiles(df: DataFrame, cols: list[str], q: float = 0.5) -> dict[str, float | None]:
+    """The exact interpolated quantile of every column in two scans,
+    whatever their number.
+
+    The first scan keeps a mergeable sketch of each column, whose rank error is
+    at most one in ``SKETCH_ACCURACY``; it gives an interval that holds the
+    wanted ranks.  The second counts what lies below each interval and the
+    values in it, some ``6 / SKETCH_ACCURACY`` of the rows before equal ones
+    are added up.  The order within an interval decides."""
+    if not cols:
+        return {}
+    values = [F.col(f"`{c}`").cast("double") for c in cols]
+    ends = [max(0.0, q - 3 / SKETCH_ACCURACY), min(1.0, q + 3 / SKETCH_ACCURACY)]
+    row = df.agg(*(f for i, v in enumerate(values) for f in (
+        F.count(v).alias(f"n{i}"), F.percentile_approx(v, ends, SKETCH_ACCURACY).alias(f"s{i}"), F.min(v).alias(f"a{i}"), F.max(v).alias(f"z{i}")))).first()
+    some = [i for i in range(len(cols)) if row[f"n{i}"]]
+    out: dict[str, float | None] = {c: None for c in cols}
+    if not some:
+        return out
+    lows = {i: row[f"a{i}"] if ends[0] == 0 else row[f"s{i}"][0] for i in some}
+    highs = {i: row[f"z{i}"] if ends[1] == 1 else row[f"s{i}"][1] for i in some}
+    pairs = F.array(*(F.when(values[i] < lows[i], F.struct(F.lit(i).alias("i"), F.lit(None).cast("double").alias("x")))
+                      .when(values[i] <= highs[i], F.struct(F.lit(i).alias("i"), values[i].alias("x"))) for i in some))
+    hist = materialize(df.select(F.explode(F.filter(pairs, lambda p: p.isNotNull())).alias("p")).groupBy("p.i", "p.x").agg(F.count("*").alias("c")))
+    before = F.coalesce(F.sum("c").over(Window.partitionBy("i").orderBy("x").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # below (null) first
+    wanted = {(i, r) for i in some for pos in [(row[f"n{i}"] - 1) * q] for r in (int(pos // 1), int(-(-pos // 1)))}
+    ranks = df.sparkSession.createDataFrame(sorted(wanted), "i int, r bigint")
+    found = hist.withColumn("start", before).join(F.broadcast(ranks), "i").where("start <= r and r < start + c and x is not null")  # two rows a column
+    at = {(r["i"], r["r"]): r["x"] for r in found.select("i", "r", "x").collect()}
+    for i in some:
+        pos = (row[f"n{i}"] - 1) * q
+        lo, hi = at.get((i, int(pos // 1))), at.get((i, int(-(-pos // 1))))
+        # an interval that does not hold its ranks (never, by the sketch's bound) is searched by itself
+        out[cols[i]] = exact_quantile(df, cols[i], q) if lo is None or hi is None else lo + (hi - lo) * (pos - pos // 1)
+    return out
+
+
 def impute_median(df: DataFrame, cols: list[str]) -> DataFrame:
     """NULL -> exact median of the whole column."""
-    meds = {c: exact_quantile(df, c, 0.5) for c in cols}
+    meds = exact_quantiles(df, cols, 0.5)
     return df.select(*[F.coalesce(F.col(c), F.lit(meds[c]).cast("double")).alias(c)
                        if c in meds else F.col(c) for c in df.columns])
 
