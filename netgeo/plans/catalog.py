@@ -749,6 +749,31 @@ def q_compare_models(spark, sf_dir):
                       F.round("dist_whois_km", 6).alias("dist_whois_km"))
 
 
+# ----------------------------------------------------------------- saved bundles: E10, J11, V1-V4 on trained models
+
+#: Folders of the bundles that this process has saved, by application, input and family.
+_SAVED: dict[tuple[str, str, str], str] = {}
+
+
+def bundle(spark, sf_dir, kind: str):
+    """The family, trained and saved at the first call and loaded at every later one."""
+    from netgeo.plans import families
+    key = (spark.sparkContext.applicationId, sf_dir, kind)
+    if key not in _SAVED:
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/bundle-{kind}-{uuid.uuid4().hex}"
+        families.save(spark, families.FIT[kind](split_frame(spark, sf_dir)), path)
+        _SAVED[key] = path
+    return families.load(spark, _SAVED[key])
+
+
+def _held_out(spark, sf_dir, kind: str, *more: str) -> DataFrame:
+    from netgeo.plans import families
+    return families.predictions(bundle(spark, sf_dir, kind), split_frame(spark, sf_dir)).select("range_id", "actual", "predicted", "prob", *more)
+
+
+POINTS = ("predicted_lat", "predicted_lon", "predicted_reachable")
+
+
 # ----------------------------------------------------------------- steps 7-9: models (rows-only)
 # Model outputs depend on MLlib's solvers, so these have no SQL oracle; their
 # pytest checks assert they beat the majority-class baseline and are stable.
@@ -756,15 +781,13 @@ def q_compare_models(spark, sf_dir):
 @register("tree_predictions")
 def q_tree_predictions(spark, sf_dir):
     """E4-E6 + E10: decision trees for city, lat, lon, reachable on the test split."""
-    from netgeo.plans import pipelines
-    return pipelines.tree_predictions(split_frame(spark, sf_dir))
+    return _held_out(spark, sf_dir, "tree", *POINTS)
 
 
 @register("knn_predictions")
 def q_knn_predictions(spark, sf_dir):
     """Cosine 7-NN vote / mean over TF-IDF + scaled numeric + one-hot vectors."""
-    from netgeo.plans import pipelines
-    return pipelines.knn_predictions(split_frame(spark, sf_dir))
+    return _held_out(spark, sf_dir, "knn", *POINTS)
 
 
 @register("hashed_lr_predictions")
@@ -777,15 +800,13 @@ def q_hashed_lr_predictions(spark, sf_dir):
 @register("rbf_predictions")
 def q_rbf_predictions(spark, sf_dir):
     """M11 + E2: random Fourier features (300, gamma 0.1) -> logistic regression."""
-    from netgeo.plans import pipelines
-    return pipelines.rbf_predictions(split_frame(spark, sf_dir))
+    return _held_out(spark, sf_dir, "rbf")
 
 
 @register("boosted_predictions")
 def q_boosted_predictions(spark, sf_dir):
     """One-vs-rest boosted trees with holdout early stopping."""
-    from netgeo.plans import pipelines
-    return pipelines.boosted_predictions(split_frame(spark, sf_dir))
+    return _held_out(spark, sf_dir, "boosted")
 
 
 @register("score_ips")
@@ -793,41 +814,24 @@ def q_score_ips(spark, sf_dir):
     """E10 end to end: every IP of the stream resolved (exact -> nearest ->
     IP-only) and scored by the tree models."""
     from netgeo.plans import pipelines
-    return pipelines.score_ips_with_trees(query_table(spark, sf_dir), lookup_table(spark, sf_dir),
-                                          split_frame(spark, sf_dir))
+    return pipelines.score_ips_with_bundle(query_table(spark, sf_dir), lookup_table(spark, sf_dir), bundle(spark, sf_dir, "tree").parts)
 
 
 @register("score_ips_exact")
 def q_score_ips_exact(spark, sf_dir):
     """E10 + J5: unmatched IPs are scored on features of the address alone."""
     from netgeo.plans import pipelines
-    bundle = pipelines.train_tree_family(split_frame(spark, sf_dir))
-    return pipelines.score_ips_with_bundle(query_table(spark, sf_dir), lookup_table(spark, sf_dir), bundle, "exact")
+    return pipelines.score_ips_with_bundle(query_table(spark, sf_dir), lookup_table(spark, sf_dir), bundle(spark, sf_dir, "tree").parts, "exact")
 
 
 @register("score_ips_knn")
 def q_score_ips_knn(spark, sf_dir):
     """E10 for the KNN family, with the five best cities of every IP."""
     from netgeo.plans import pipelines
-    return pipelines.score_ips_knn(query_table(spark, sf_dir), lookup_table(spark, sf_dir), split_frame(spark, sf_dir))
-
-
-# ----------------------------------------------------------------- saved bundles: E10, J11, V1-V4 on trained models
-
-#: Folders of the bundles that this process has saved, by application, input and family.
-_SAVED: dict[tuple[str, str, str], str] = {}
+    return pipelines.score_ips_knn_with_bundle(query_table(spark, sf_dir), lookup_table(spark, sf_dir), bundle(spark, sf_dir, "knn").parts)
 
 
-def bundle(spark, sf_dir, kind: str):
-    """The family, trained and saved at the first call and loaded at every later one."""
-    from netgeo.plans import families
-    key = (spark.sparkContext.applicationId, sf_dir, kind)
-    if key not in _SAVED:
-        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/bundle-{kind}-{uuid.uuid4().hex}"
-        families.save(spark, families.FIT[kind](split_frame(spark, sf_dir)), path)
-        _SAVED[key] = path
-    return families.load(spark, _SAVED[key])
-
+# ----------------------------------------------------------------- E10, J11, V1-V4 on saved bundles
 
 def _score_with(spark, sf_dir, kind: str) -> DataFrame:
     from netgeo.plans import families
