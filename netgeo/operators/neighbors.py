@@ -256,7 +256,8 @@ def load(spark: SparkSession, path: str) -> Index:
 def _best(qids: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int):
     """The k best items of each query of a score matrix: (qid, iid, sim)."""
     order = np.argsort(ids, kind="stable")
-    ids, scores = ids[order], np.round(scores[:, order], 9) + 0.0
+    ids, exact = ids[order], scores[:, order]
+    scores = np.round(exact, 9) + 0.0
     n = min(k, len(ids))
     least = np.partition(scores, len(ids) - n, axis=1)[:, len(ids) - n]
     row, column = np.nonzero(scores >= least[:, None])
@@ -264,7 +265,7 @@ def _best(qids: np.ndarray, ids: np.ndarray, scores: np.ndarray, k: int):
     row, column = row[by], column[by]
     rank = np.arange(len(row)) - np.searchsorted(row, row)
     keep = rank < n
-    return qids[row[keep]], ids[column[keep]], scores[row[keep], column[keep]]
+    return qids[row[keep]], ids[column[keep]], exact[row[keep], column[keep]]
 
 
 FOUND = "qid bigint, iid bigint, sim double"
@@ -344,7 +345,7 @@ PAIRS = "block int, qid bigint, dims array<int>, weights array<double>"
 
 
 def ranked(found: DataFrame, k: int) -> DataFrame:
-    order = Window.partitionBy("qid").orderBy(F.desc("sim"), F.asc("iid"))
+    order = Window.partitionBy("qid").orderBy(F.desc(F.round("sim", 9)), F.asc("iid"))
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
