@@ -14,7 +14,7 @@ from pyspark.ml.regression import DecisionTreeRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from netgeo.operators import clean, features, hashed_text, knn, lookup, models, neighbors, stats
+from netgeo.operators import features, hashed_text, knn, lookup, models, neighbors
 from netgeo.session import materialize
 from netgeo.sources import io
 
