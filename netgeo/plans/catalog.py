@@ -751,19 +751,20 @@ def q_compare_models(spark, sf_dir):
 
 # ----------------------------------------------------------------- saved bundles: E10, J11, V1-V4 on trained models
 
-#: Folders of the bundles that this process has saved, by application, input and family.
-_SAVED: dict[tuple[str, str, str], str] = {}
+#: Bundles that this process has saved and loaded, by application, input and family.
+_LOADED: dict[tuple[str, str, str], object] = {}
 
 
 def bundle(spark, sf_dir, kind: str):
-    """The family, trained and saved at the first call and loaded at every later one."""
+    """The family: trained, saved and loaded from its folder at the first call
+    of an application, the loaded one at every later call."""
     from netgeo.plans import families
     key = (spark.sparkContext.applicationId, sf_dir, kind)
-    if key not in _SAVED:
+    if key not in _LOADED:
         path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/bundle-{kind}-{uuid.uuid4().hex}"
         families.save(spark, families.FIT[kind](split_frame(spark, sf_dir)), path)
-        _SAVED[key] = path
-    return families.load(spark, _SAVED[key])
+        _LOADED[key] = families.load(spark, path)
+    return _LOADED[key]
 
 
 def _held_out(spark, sf_dir, kind: str, *more: str) -> DataFrame:
