@@ -531,7 +531,8 @@ SELECT doc_id, term, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) A
 def q_tfidf_terms(spark, sf_dir):
     """M4: TF-IDF (smoothed idf, L2 norm) over the top 400 (1,2)-grams, long form."""
     docs = _docs(spark, sf_dir)
-    tf = materialize(features.term_counts(docs, "doc_id", "text", 2))
+    top = materialize(features.top_terms(docs, "doc_id", "text", 2, TFIDF_MAX_FEATURES))
+    tf = materialize(features.term_counts(docs, "doc_id", "text", 2, top))
     vocab = features.fit_vocabulary(tf, docs.agg(F.count(F.lit(1))).scalar(), TFIDF_MAX_FEATURES)
     out = features.tfidf_long(tf, vocab)
     return out.select("doc_id", "term", F.round("weight", 6).alias("weight"))
