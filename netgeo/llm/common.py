@@ -13,6 +13,7 @@ from netgeo.session import ensure_checkpoint_dir
 
 #: Text handled at once inside a task: a batch is cut into runs of about so many bytes.
 RUN_BYTES = 8_000_000
+FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -30,10 +31,19 @@ def free_name(df: DataFrame, name: str) -> str:
 def saved(df: DataFrame, name: str) -> DataFrame:
     """``df`` written as Parquet to the shared folder of ``spark.checkpoint.dir``
     and read back: lineage ends there, and every later reader sees one version
-    of the rows even if executors are lost in between."""
+    of the rows even if executors are lost in between.  The shuffle files of the
+    write are deleted with its end, as nothing reads them any more."""
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(FREE_SHUFFLES, None)
+    spark.conf.set(FREE_SHUFFLES, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        if before is None:
+            spark.conf.unset(FREE_SHUFFLES)
+        else:
+            spark.conf.set(FREE_SHUFFLES, before)
     out = spark.read.schema(df.schema).parquet(path)
     out.saved_at = path
     return out

@@ -30,6 +30,8 @@ B|``; then at most ``s * (den - num) / num`` tokens differ.
 * *Sketches.*  Each token flips one of ``SKETCH_BITS`` bits, so two sets differ
   in at least as many tokens as their sketches differ in bits.  A pair leaves a
   join only if that is within what a link allows, and is then verified.
+* *Tokens* are never gathered with the signatures: a set that is to be verified
+  is made again from the text of one document of its class, once.
 
 Equal sets are one class from the start.  Defined cases: a null or empty text
 has an empty set, n_shingles 0 and is its own component; fewer words than
@@ -40,6 +42,7 @@ texts; an empty table gives an empty result.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -196,6 +199,22 @@ def describe(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     return rows.mapInArrow(described, f"key {kind}, digest bigint, n_shingles bigint, class binary, least bigint")
 
 
+def _tokens(wanted: DataFrame, docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
+    """(id, tokens) of the classes ``wanted`` (id, class, least_key, digest), from
+    the text of the row that least_key and digest name."""
+    kind = wanted.schema["id"].dataType.simpleString()
+    rows = docs.select(F.col(key).alias("least_key"), F.xxhash64(text).alias("digest"), F.col(text).alias("text"))
+    rows = rows.join(wanted, ["least_key", "digest"]).select("id", "class", "text")
+
+    def sets_of(batches):
+        for batch in runs(batches):
+            sets = shingle_sets(batch.column(2).to_pylist(), width)
+            own = pa.array([_class_of(s) == c for s, c in zip(sets, batch.column(1).to_pylist())], pa.bool_())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([s.tobytes() for s in sets], pa.binary())], names=["id", "tokens"]).filter(own)
+
+    return rows.mapInArrow(sets_of, f"id {kind}, tokens binary").dropDuplicates(["id"])
+
+
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets link."""
     kind = sets.schema["id"].dataType.simpleString()
@@ -215,14 +234,15 @@ def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFram
     return rows.mapInArrow(check, f"a {kind}, b {kind}")
 
 
-def _link(members: DataFrame, sets: DataFrame, num: int, den: int, star_rounds: int) -> DataFrame | None:
+def _link(members: DataFrame, sketches: DataFrame, classes: DataFrame, tokens: Callable[[DataFrame], DataFrame], num: int, den: int, star_rounds: int) -> DataFrame | None:
     """(id, component) of the classes that link with another one.
-    ``members``: signature and id of groups of two and more."""
+    ``members``: signature and id of groups of two and more; ``tokens`` gives
+    (id, tokens) of some rows of ``classes``."""
     size = members.groupBy("signature").agg(F.count("*").alias("n"))
     weight = members.join(size, "signature").groupBy("id").agg(F.sum(F.col("n") - 1).alias("weight"))
     members = saved(members.join(weight, "id"), "members")
-    sketches = sets.select("id", "n", "sketch")
-    links = found = tried = centres = None
+    links = found = tried = centres = sets = None
+    made = []  # tables of tokens; a class is in one of them at most
     for turn in range(star_rounds + 1):
         with_component = lambda df: (df.withColumn("component", F.col("id")) if found is None else
                                      df.join(found, "id", "left").withColumn("component", F.coalesce("component", "id")))
@@ -249,13 +269,24 @@ def _link(members: DataFrame, sets: DataFrame, num: int, den: int, star_rounds:
         tried = pairs if tried is None else tried.unionByName(pairs)
         near = (pairs.join(sketches.withColumnRenamed("id", "a"), "a").join(sketches.select(F.col("id").alias("b"), F.col("n").alias("_n"), F.col("sketch").alias("_sketch")), "b")
                 .where(_may_link("", "_", num, den)).select("a", "b"))
-        fresh = saved(_verified(near, sets, num, den), "verified")
+        near = saved(near, "near")
         discard(state)
+        if near.isEmpty():
+            discard(near)
+            continue
+        ids = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        ids = ids if sets is None else ids.join(sets, "id", "left_anti")
+        wanted = saved(classes.join(ids, "id"), "wanted")
+        if not wanted.isEmpty():
+            made.append(saved(tokens(wanted), "tokens"))
+            sets = made[0] if sets is None else sets.unionByName(made[-1])
+        fresh = saved(_verified(near, sets, num, den), "verified")
+        discard(near, wanted)
         if not fresh.isEmpty():
             links = fresh if links is None else links.unionByName(fresh)
             before, found = found, saved(components(links), "components")
             discard(before)
-    discard(members, state)
+    discard(members, state, *made)
     return found
 
 
@@ -266,7 +297,8 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
     for empty sets) of every row.  Texts that share a key but do not link have
     one component_id and two components."""
     rows = saved(describe(docs, key, text, width), "described")
-    classes = rows.where("key is not null and n_shingles > 0").groupBy("class").agg(F.min("key").alias("least_key"), F.first("n_shingles").alias("n"), F.first("least").alias("least"))
+    classes = rows.where("key is not null and n_shingles > 0").groupBy("class").agg(F.min(F.struct("key", "digest")).alias("row"), F.first("n_shingles").alias("n"), F.first("least").alias("least"))
+    classes = classes.select("class", F.col("row.key").alias("least_key"), F.col("row.digest").alias("digest"), "n", "least")
     classes = saved(classes.withColumn("id", F.monotonically_increasing_id()), "classes")  # equal keys are told apart; read back, the ids stay
     largest = classes.agg(F.max("n")).first()[0] or 0
     first = Scheme.bands(largest, num, den)
@@ -297,23 +329,23 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
         owners, at = np.unique(who, return_index=True)
         parts = np.split(signed, at[1:]) if len(owners) else []
         return pa.table({"class": pa.array([_class_of(sets[i]) for i in owners.tolist()], pa.binary()),
-                         "tokens": pa.array([sets[i].tobytes() for i in owners.tolist()], pa.binary()),
                          "signatures": pa.array([np.unique(p) for p in parts], pa.list_(pa.int64())),
                          "n": pa.array([len(sets[i]) for i in owners.tolist()], pa.int64()),
                          "sketch": pa.array([_sketch(sets[i]) for i in owners.tolist()], pa.list_(pa.int64()))})
 
     entries = total * 9 * (den - num) // (50 * num) * 2  # about a signature for num / (den - num) shingles, in one scheme or two
-    gathered = answered(dealt, entries, hashes, gather, "class binary, tokens binary, signatures array<bigint>, n bigint, sketch array<bigint>")
-    gathered = saved(gathered.join(classes.select("class", "id"), "class").select("id", "tokens", "signatures", "n", "sketch"), "gathered")
+    gathered = answered(dealt, entries, hashes, gather, "class binary, signatures array<bigint>, n bigint, sketch array<bigint>")
+    gathered = saved(gathered.join(classes.select("class", "id"), "class").select("id", "signatures", "n", "sketch"), "gathered")
     members = gathered.select("id", F.explode("signatures").alias("signature")).distinct()
     many = members.groupBy("signature").agg(F.count("*").alias("n")).where("n > 1").select("signature")
     members = saved(members.join(many, "signature"), "members")
     # one row a class, and only of classes that share a signature with another one
-    sets = gathered.select("id", "tokens", "n", "sketch").join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
-    sets = saved(sets, "sets")
+    sketches = gathered.select("id", "n", "sketch").join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    sketches = saved(sketches, "sketches")
     discard(gathered)
-    found = _link(members, sets, num, den, star_rounds)
-    discard(sets, members)
+
+    found = _link(members, sketches, classes.select("id", "class", "least_key", "digest"), lambda wanted: _tokens(wanted, docs, key, text, width), num, den, star_rounds)
+    discard(sketches, members)
 
     ids = classes.select("class", "id", "least_key", F.col("id").alias("component"))
     if found is not None:

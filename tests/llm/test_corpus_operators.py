@@ -1,8 +1,10 @@
 """Decontamination, substring dedup, PII, top-k and Jaccard join against brute force."""
 from __future__ import annotations
 
+import glob
 import hashlib
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -10,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from netgeo.llm import decontamination, jaccard, pii, repeats, substring_dedup, topk
+from netgeo.llm.common import FREE_SHUFFLES, saved
 from netgeo.llm.components import components
 
 # --- decontamination --------------------------------------------------------
@@ -342,6 +345,42 @@ def test_repeated_key_with_different_texts(docs):
     assert Counter((r["doc_id"], r["text"]) for r in kept) == Counter([rows[0], rows[3], rows[4], rows[5]])
 
 
+def test_tokens_of_verified_sets_only(docs, monkeypatch):
+    """Texts that share half their shingles share signatures, but only the two near copies are written as token sets."""
+    rng = random.Random(8)
+    shared = prose(rng, 150)
+    rows = [(i, shared + " " + prose(rng, 150, "klmnopqrst")) for i in range(30)]
+    rows += [(100, rows[3][1] + " more"), (100, rows[3][1] + " more")]
+    members, written = [], []
+
+    def recorded(df, name):
+        out = saved(df, name)
+        if name == "members":
+            members.append(out.select("id").distinct().count())
+        if "tokens" in out.columns:
+            written.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "saved", recorded)
+    got = jaccard.link(docs(rows), width=5, num=80).collect()
+    assert Counter(tuple(r[:3]) for r in got) == brute_components(rows, 5, 80, 100)
+    assert members[0] > 20 and written == [2]
+
+
+def test_saved_frees_shuffle_files(spark):
+    def files():
+        folders = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+        return {f for d in folders for f in glob.glob(f"{d}/**/shuffle_*", recursive=True)}
+
+    before, setting = files(), spark.conf.get(FREE_SHUFFLES, None)
+    out = saved(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.collect_list("id").alias("ids")), "freed")
+    until = time.time() + 10
+    while files() - before and time.time() < until:  # they go soon after the write
+        time.sleep(0.1)
+    assert not files() - before and spark.conf.get(FREE_SHUFFLES, None) == setting
+    assert out.count() == 7
+
+
 def test_signatures_of_linked_sets_meet():
     """The pigeonhole: sets that link share a signature, whatever the allocation."""
     rng = np.random.default_rng(3)
