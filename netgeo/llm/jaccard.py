@@ -29,7 +29,9 @@ B|``; then at most ``s * (den - num) / num`` tokens differ.
   different components in one group, are all looked at, so no link is lost.
 * *Sketches.*  Each token flips one of ``SKETCH_BITS`` bits, so two sets differ
   in at least as many tokens as their sketches differ in bits.  A pair leaves a
-  join only if that is within what a link allows, and is then verified.
+  join only if that is within what a link allows, and is then verified.  Sets of
+  more than ``SKETCH_BITS`` tokens, which fill a sketch, have a wide one too, with
+  a bit for each token about; it is folded to the width of the other set's.
 * *Tokens* are never gathered with the signatures: a set that is to be verified
   is made again from the text of one document of its class, once.
 
@@ -42,7 +44,7 @@ texts; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -60,6 +62,8 @@ STAR_ROUNDS = 3
 #: Cost of verifying a pair, in index entries.
 PAIR_COST = 50.0
 SKETCH_BITS = 1024
+#: Tokens handled at once inside a task; a set is never cut.
+RUN_TOKENS = 1 << 17
 
 _S1, _S2, _SEG, _BAND, _RING = (np.uint64(x) for x in (0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3, 0xA24BAED4963EE407))
 _WORD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63))
@@ -67,6 +71,26 @@ _WORD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x1
 
 def shingle_sets(texts: list[str | None], width: int = WIDTH) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
+    out = []
+    for first, last in _runs([len(t or "") for t in texts], 8 * RUN_TOKENS):
+        out += _shingled(texts[first:last], width)
+    return out
+
+
+def _runs(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbours that hold about ``limit`` together, and one at least."""
+    first = held = 0
+    for i, size in enumerate(sizes):
+        if i > first and held + size > limit:
+            yield first, i
+            first = i
+            held = 0
+        held += size
+    if sizes:
+        yield first, len(sizes)
+
+
+def _shingled(texts: list[str | None], width: int) -> list[np.ndarray]:
     docs = [(t or "").encode().lower().split() for t in texts]
     flat = np.fromiter((h for d in docs for h in map(xxhash.xxh3_64_intdigest, d)), np.uint64, sum(map(len, docs)))
     n = max(len(flat) - width + 1, 0)
@@ -128,6 +152,11 @@ class Scheme:
 
     def signatures(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """(signature, place in ``sets``) of all sets, in every scheme they take part in."""
+        parts = [(first, self._all(sets[first:last])) for first, last in _runs([len(s) for s in sets], RUN_TOKENS)]
+        empty = (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        return (np.concatenate([empty[0], *(x for _, (x, _) in parts)]), np.concatenate([empty[1], *(d + first for first, (_, d) in parts)]))
+
+    def _all(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         sizes = np.fromiter(map(len, sets), np.int64, len(sets))
         out = [self._signed(sets, sizes, np.flatnonzero(sizes > 0), self.band(np.maximum(sizes, 1)))]
         below = self.band(np.maximum(sizes, 1)) - 1
@@ -176,6 +205,38 @@ def _sketch(s: np.ndarray) -> np.ndarray:
     return np.packbits(flips.astype(bool)).view(np.int64)
 
 
+def _wide(s: np.ndarray) -> bytes:
+    if len(s) <= SKETCH_BITS:
+        return b""
+    bits = min(1 << (len(s) - 1).bit_length(), 1 << 24)
+    flips = np.bincount((mix(s ^ _SEG) >> np.uint64(40)).astype(np.int64) % bits, minlength=bits) % 2
+    return np.packbits(flips.astype(bool)).tobytes()
+
+
+def _apart(x: bytes, y: bytes) -> int:
+    """In how many bits two wide sketches differ; the longer one is folded."""
+    x, y = sorted((np.frombuffer(w, np.uint8) for w in (x, y)), key=len)
+    while len(y) > len(x):
+        y = y[: len(y) // 2] ^ y[len(y) // 2 :]
+    return int(np.unpackbits(x ^ y).sum())
+
+
+def _near(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
+    """The pairs (a, b, n, _n) whose wide sketches allow a link; pairs of which one has none stay."""
+    kind = sketches.schema["id"].dataType.simpleString()
+    wide = sketches.where(F.col("n") > SKETCH_BITS)
+    large = F.least("n", "_n") > SKETCH_BITS
+    rows = (pairs.where(large).join(wide.select(F.col("id").alias("a"), F.col("wide").alias("x")), "a")
+            .join(wide.select(F.col("id").alias("b"), F.col("wide").alias("y")), "b").select("a", "b", "x", "y", "n", "_n"))
+
+    def check(batches):
+        for batch in runs(batches, "x"):
+            keep = [_apart(x, y) * (den + num) <= (n + m) * (den - num) for x, y, n, m in zip(*(batch.column(i).to_pylist() for i in range(2, 6)))]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    return pairs.where(~large).select("a", "b").unionByName(rows.mapInArrow(check, f"a {kind}, b {kind}"))
+
+
 def _may_link(a: str, b: str, num: int, den: int) -> Column:
     """True for all pairs that link, and few others; columns <a>n, <a>sketch, <b>n, <b>sketch."""
     apart = sum((F.bit_count(F.col(f"{a}sketch")[i].bitwiseXOR(F.col(f"{b}sketch")[i])) for i in range(SKETCH_BITS // 64)), F.lit(0))
@@ -241,6 +302,7 @@ def _link(members: DataFrame, sketches: DataFrame, classes: DataFrame, tokens: C
     size = members.groupBy("signature").agg(F.count("*").alias("n"))
     weight = members.join(size, "signature").groupBy("id").agg(F.sum(F.col("n") - 1).alias("weight"))
     members = saved(members.join(weight, "id"), "members")
+    wide, sketches = sketches, sketches.drop("wide")
     links = found = tried = centres = sets = None
     made = []  # tables of tokens; a class is in one of them at most
     for turn in range(star_rounds + 1):
@@ -268,9 +330,10 @@ def _link(members: DataFrame, sketches: DataFrame, classes: DataFrame, tokens: C
         pairs = saved(pairs, "pairs")
         tried = pairs if tried is None else tried.unionByName(pairs)
         near = (pairs.join(sketches.withColumnRenamed("id", "a"), "a").join(sketches.select(F.col("id").alias("b"), F.col("n").alias("_n"), F.col("sketch").alias("_sketch")), "b")
-                .where(_may_link("", "_", num, den)).select("a", "b"))
-        near = saved(near, "near")
-        discard(state)
+                .where(_may_link("", "_", num, den)).select("a", "b", "n", "_n"))
+        close = saved(near, "close")
+        near = saved(_near(close, wide, num, den), "near")
+        discard(state, close)
         if near.isEmpty():
             discard(near)
             continue
@@ -331,16 +394,17 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int =
         return pa.table({"class": pa.array([_class_of(sets[i]) for i in owners.tolist()], pa.binary()),
                          "signatures": pa.array([np.unique(p) for p in parts], pa.list_(pa.int64())),
                          "n": pa.array([len(sets[i]) for i in owners.tolist()], pa.int64()),
-                         "sketch": pa.array([_sketch(sets[i]) for i in owners.tolist()], pa.list_(pa.int64()))})
+                         "sketch": pa.array([_sketch(sets[i]) for i in owners.tolist()], pa.list_(pa.int64())),
+                         "wide": pa.array([_wide(sets[i]) for i in owners.tolist()], pa.binary())})
 
     entries = total * 9 * (den - num) // (50 * num) * 2  # about a signature for num / (den - num) shingles, in one scheme or two
-    gathered = answered(dealt, entries, hashes, gather, "class binary, signatures array<bigint>, n bigint, sketch array<bigint>")
-    gathered = saved(gathered.join(classes.select("class", "id"), "class").select("id", "signatures", "n", "sketch"), "gathered")
+    gathered = answered(dealt, entries, hashes, gather, "class binary, signatures array<bigint>, n bigint, sketch array<bigint>, wide binary")
+    gathered = saved(gathered.join(classes.select("class", "id"), "class").select("id", "signatures", "n", "sketch", "wide"), "gathered")
     members = gathered.select("id", F.explode("signatures").alias("signature")).distinct()
     many = members.groupBy("signature").agg(F.count("*").alias("n")).where("n > 1").select("signature")
     members = saved(members.join(many, "signature"), "members")
     # one row a class, and only of classes that share a signature with another one
-    sketches = gathered.select("id", "n", "sketch").join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
+    sketches = gathered.select("id", "n", "sketch", "wide").join(members.select("id").distinct(), "id", "left_semi").dropDuplicates(["id"])
     sketches = saved(sketches, "sketches")
     discard(gathered)
 

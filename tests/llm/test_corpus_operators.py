@@ -367,6 +367,33 @@ def test_tokens_of_verified_sets_only(docs, monkeypatch):
     assert members[0] > 20 and written == [2]
 
 
+def test_wide_sketches_tell_long_sets_apart():
+    rng = np.random.default_rng(7)
+    for n in (1100, 5000, 20000):
+        a = np.unique(rng.integers(0, 2 ** 63, n).astype(np.uint64))
+        for kept, more in ((n, 0), (n - n // 20, n // 10), (n // 2, n // 2), (0, n)):
+            b = np.unique(np.concatenate([a[:kept], rng.integers(0, 2 ** 63, more).astype(np.uint64)]))
+            differ = len(np.setxor1d(a, b))
+            apart = jaccard._apart(jaccard._wide(a), jaccard._wide(b))
+            assert apart <= differ
+            if kept <= n // 2:  # such a pair used to reach verification, with all its tokens
+                assert apart * 180 > (len(a) + len(b)) * 20
+    assert jaccard._wide(a[:1024]) == b""
+
+
+def test_runs_do_not_change_sets_and_signatures(monkeypatch):
+    rng = random.Random(5)
+    texts = [None, "", *(prose(rng, n) for n in (1, 3, 40, 500, 30, 2000)), None]
+    scheme = jaccard.Scheme.allocate(3000, {}, 80, 100)
+    sets = jaccard.shingle_sets(texts, 5)
+    signed, who = scheme.signatures(sets)
+    monkeypatch.setattr(jaccard, "RUN_TOKENS", 50)
+    again = jaccard.shingle_sets(texts, 5)
+    assert len(again) == len(texts) and all(np.array_equal(a, b) for a, b in zip(sets, again))
+    assert Counter(zip(*(x.tolist() for x in scheme.signatures(sets)))) == Counter(zip(signed.tolist(), who.tolist()))
+    assert jaccard.shingle_sets([]) == [] and len(scheme.signatures([])[0]) == 0
+
+
 def test_saved_frees_shuffle_files(spark):
     def files():
         folders = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
