@@ -8,11 +8,14 @@ from collections.abc import Iterator
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from netgeo.session import ensure_checkpoint_dir
 
 #: Text handled at once inside a task: a batch is cut into runs of about so many bytes.
 RUN_BYTES = 8_000_000
+#: Most bits of a map of wanted rows (8 MB), and bits for each wanted row below that.
+MAP_BITS, BITS_A_ROW = 1 << 26, 32
 FREE_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
@@ -58,6 +61,18 @@ def discard(*tables: DataFrame | None) -> None:
             path.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+def narrowed(rows: DataFrame, wanted: DataFrame, *columns: str) -> DataFrame:
+    """The rows whose ``columns`` stand in ``wanted``, and few others, without a
+    shuffle: ``wanted`` is sent as a bitmap of hashes of bounded size.  For wide
+    rows before an exact join, which then shuffles those that can match only."""
+    bits = min(max(BITS_A_ROW * wanted.count(), 1 << 15), MAP_BITS)
+    mark = F.pmod(F.xxhash64(*columns), F.lit(bits))
+    bucket, place = F.bitmap_bucket_number(mark), F.bitmap_bit_position(mark)
+    maps = wanted.select(bucket.alias("_bucket"), place.alias("_place")).groupBy("_bucket").agg(F.bitmap_construct_agg("_place").alias("_map"))
+    marked = rows.withColumns({"_bucket": bucket, "_place": place}).join(F.broadcast(maps), "_bucket")
+    return marked.where("getbit(cast(conv(hex(substring(_map, cast(_place div 8 as int) + 1, 1)), 16, 10) as int), cast(_place % 8 as int)) = 1").select(*rows.columns)
+
+
 def runs(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = RUN_BYTES) -> Iterator[pa.RecordBatch]:
     """Batches cut so that each holds about ``limit`` bytes of the column
     ``text``, and one row at least: a long document is never cut."""

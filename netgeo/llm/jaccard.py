@@ -25,15 +25,18 @@ B|``; then at most ``s * (den - num) / num`` tokens differ.
   gathered at all (``repeats``).  Sets that share one are not paired with each
   other but with the group's centre, the member with most shared signatures;
   what links is joined into components, and groups whose members are all of
-  one component are done.  After ``star_rounds`` the pairs still open, of
-  different components in one group, are all looked at, so no link is lost.
+  one component are done.  A centre has met its whole group and leaves it.  After
+  ``star_rounds`` the pairs still open, of different components in one group, are
+  all looked at, so no link is lost.
 * *Sketches.*  Each token flips one of ``SKETCH_BITS`` bits, so two sets differ
   in at least as many tokens as their sketches differ in bits.  A pair leaves a
   join only if that is within what a link allows, and is then verified.  Sets of
   more than ``SKETCH_BITS`` tokens, which fill a sketch, have a wide one too, with
   a bit for each token about; it is folded to the width of the other set's.
 * *Tokens* are never gathered with the signatures: a set that is to be verified
-  is made again from the text of one document of its class, once.
+  is made again from the text of one document of its class, once.  Texts, token
+  sets and wide sketches that no pair asks for are left out before they are
+  shuffled (``narrowed``).
 
 Equal sets are one class from the start.  Defined cases: a null or empty text
 has an empty set, n_shingles 0 and is its own component; fewer words than
@@ -53,7 +56,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from netgeo.llm.common import discard, free_name, runs, saved
+from netgeo.llm.common import discard, free_name, narrowed, runs, saved
 from netgeo.llm.components import components
 from netgeo.llm.repeats import BLOCK_BYTES, answered, blocks, mix
 
@@ -221,11 +224,15 @@ def _apart(x: bytes, y: bytes) -> int:
     return int(np.unpackbits(x ^ y).sum())
 
 
+def _ids(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.explode(F.array("a", "b")).alias("id"))
+
+
 def _near(pairs: DataFrame, sketches: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b, n, _n) whose wide sketches allow a link; pairs of which one has none stay."""
     kind = sketches.schema["id"].dataType.simpleString()
-    wide = sketches.where(F.col("n") > SKETCH_BITS)
     large = F.least("n", "_n") > SKETCH_BITS
+    wide = narrowed(sketches.where(F.col("n") > SKETCH_BITS), _ids(pairs.where(large)), "id")
     rows = (pairs.where(large).join(wide.select(F.col("id").alias("a"), F.col("wide").alias("x")), "a")
             .join(wide.select(F.col("id").alias("b"), F.col("wide").alias("y")), "b").select("a", "b", "x", "y", "n", "_n"))
 
@@ -265,7 +272,7 @@ def _tokens(wanted: DataFrame, docs: DataFrame, key: str, text: str, width: int)
     the text of the row that least_key and digest name."""
     kind = wanted.schema["id"].dataType.simpleString()
     rows = docs.select(F.col(key).alias("least_key"), F.xxhash64(text).alias("digest"), F.col(text).alias("text"))
-    rows = rows.join(wanted, ["least_key", "digest"]).select("id", "class", "text")
+    rows = narrowed(rows, wanted, "least_key", "digest").join(wanted, ["least_key", "digest"]).select("id", "class", "text")
 
     def sets_of(batches):
         for batch in runs(batches):
@@ -279,6 +286,7 @@ def _tokens(wanted: DataFrame, docs: DataFrame, key: str, text: str, width: int)
 def _verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs (a, b) whose sets link."""
     kind = sets.schema["id"].dataType.simpleString()
+    sets = narrowed(sets, _ids(pairs), "id")
     rows = (pairs.join(sets.select(F.col("id").alias("a"), F.col("tokens").alias("x")), "a")
             .join(sets.select(F.col("id").alias("b"), F.col("tokens").alias("y")), "b").select("a", "b", "x", "y"))
 
@@ -301,7 +309,7 @@ def _link(members: DataFrame, sketches: DataFrame, classes: DataFrame, tokens: C
     (id, tokens) of some rows of ``classes``."""
     size = members.groupBy("signature").agg(F.count("*").alias("n"))
     weight = members.join(size, "signature").groupBy("id").agg(F.sum(F.col("n") - 1).alias("weight"))
-    members = saved(members.join(weight, "id"), "members")
+    members = held = saved(members.join(weight, "id"), "members")
     wide, sketches = sketches, sketches.drop("wide")
     links = found = tried = centres = sets = None
     made = []  # tables of tokens; a class is in one of them at most
@@ -311,6 +319,8 @@ def _link(members: DataFrame, sketches: DataFrame, classes: DataFrame, tokens: C
         state = with_component(members)
         spread = state.groupBy("signature").agg(F.min("component").alias("c0"), F.max("component").alias("c1"))
         state = saved(state.join(spread.where("c0 <> c1").select("signature"), "signature"), "open")
+        discard(held)
+        held = state
         if state.isEmpty():
             break
         if turn < star_rounds:  # the heaviest member of a component that has had no centre yet
@@ -321,6 +331,8 @@ def _link(members: DataFrame, sketches: DataFrame, classes: DataFrame, tokens: C
             new = centre.select("signature", F.col("centre").alias("id"))
             centres = new if centres is None else centres.unionByName(new)
             pairs = pairs.distinct()
+            # a centre has met the rest of its group, which goes on without it
+            members = state.join(centre, "signature", "left").where("centre is null or id <> centre").select("id", "signature", "weight")
         else:  # whatever is open still
             thin = state.join(sketches, "id")
             left = thin.select("signature", F.col("id").alias("a"), "component", "n", "sketch")
@@ -333,11 +345,11 @@ def _link(members: DataFrame, sketches: DataFrame, classes: DataFrame, tokens: C
                 .where(_may_link("", "_", num, den)).select("a", "b", "n", "_n"))
         close = saved(near, "close")
         near = saved(_near(close, wide, num, den), "near")
-        discard(state, close)
+        discard(close)
         if near.isEmpty():
             discard(near)
             continue
-        ids = near.select(F.explode(F.array("a", "b")).alias("id")).distinct()
+        ids = _ids(near).distinct()
         ids = ids if sets is None else ids.join(sets, "id", "left_anti")
         wanted = saved(classes.join(ids, "id"), "wanted")
         if not wanted.isEmpty():
@@ -349,7 +361,7 @@ def _link(members: DataFrame, sketches: DataFrame, classes: DataFrame, tokens: C
             links = fresh if links is None else links.unionByName(fresh)
             before, found = found, saved(components(links), "components")
             discard(before)
-    discard(members, state, *made)
+    discard(held, *made)
     return found
 
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 
 import glob
 import hashlib
+import os
 import random
 import time
 from collections import Counter
@@ -11,7 +12,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from netgeo.llm import decontamination, jaccard, pii, repeats, substring_dedup, topk
+from netgeo.llm import common, decontamination, jaccard, pii, repeats, substring_dedup, topk
 from netgeo.llm.common import FREE_SHUFFLES, saved
 from netgeo.llm.components import components
 
@@ -367,6 +368,63 @@ def test_tokens_of_verified_sets_only(docs, monkeypatch):
     assert members[0] > 20 and written == [2]
 
 
+def shuffle_bytes(spark):
+    folders = list(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString())
+    return {f: os.path.getsize(f) for d in folders for f in glob.glob(f"{d}/**/shuffle_*.data", recursive=True)}
+
+
+def test_tokens_shuffle_wanted_texts_only(spark, docs, monkeypatch):
+    """Two sets of 400 are wanted, without a broadcast join: the other texts, and the other sets, stay where they are."""
+    rng = random.Random(9)
+    rows = [(i, "".join(rng.choices("abcdefghij ", k=4000))) for i in range(400)]
+    wanted = jaccard.describe(docs(rows), "doc_id", "text", 5).where("key in (7, 9)").selectExpr("key id", "class", "key least_key", "digest")
+    setting = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        before = shuffle_bytes(spark)
+        got = jaccard._tokens(wanted, docs(rows), "doc_id", "text", 5).collect()
+        sent = sum(n for f, n in shuffle_bytes(spark).items() if f not in before)
+        sets = spark.createDataFrame([(i, bytes(rng.randbytes(4000))) for i in range(400)] + [(400, np.arange(9, dtype=np.uint64).tobytes()), (401, np.arange(9, dtype=np.uint64).tobytes())], "id bigint, tokens binary").localCheckpoint()
+        before = shuffle_bytes(spark)
+        near = jaccard._verified(spark.createDataFrame([(1, 2), (400, 401)], "a bigint, b bigint"), sets, 80, 100).collect()
+        compared = sum(n for f, n in shuffle_bytes(spark).items() if f not in before)
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", setting)
+    assert {r["id"]: r["tokens"] for r in got} == {i: jaccard.shingle_sets([rows[i][1]], 5)[0].tobytes() for i in (7, 9)}
+    assert [tuple(r) for r in near] == [(400, 401)]
+    assert 0 < sent < 200_000 and 0 < compared < 200_000
+
+
+def test_narrowed_keeps_all_that_is_wanted(spark, monkeypatch):
+    rows = spark.range(5000).selectExpr("cast(id % 2500 as string) k", "id % 3 d", "id")
+    wanted = rows.where("id % 50 = 0")
+    for bits, most in ((common.MAP_BITS, 250), (1 << 15, 500), (64, 5000)):  # a full map keeps too much, never too little
+        monkeypatch.setattr(common, "MAP_BITS", bits)
+        got = common.narrowed(rows, wanted, "k", "d")
+        assert got.columns == rows.columns and got.count() == got.distinct().count() <= most
+        assert not wanted.exceptAll(got).count()
+    assert common.narrowed(rows, wanted.limit(0), "k").count() == 0
+
+
+def test_centres_leave_their_groups(docs, monkeypatch):
+    """Texts that share half their shingles and do not link: each turn has a centre less to look at."""
+    rng = random.Random(8)
+    shared = prose(rng, 150)
+    rows = [(i, shared + " " + prose(rng, 150, "klmnopqrst")) for i in range(30)] + [(40, shared + " more"), (41, shared + " most")]
+    opened = []
+
+    def recorded(df, name):
+        out = saved(df, name)
+        if name == "open":
+            opened.append((out.count(), out.select("signature").distinct().count()))
+        return out
+
+    monkeypatch.setattr(jaccard, "saved", recorded)
+    got = jaccard.link(docs(rows), width=5, num=80).collect()
+    assert Counter(tuple(r[:3]) for r in got) == brute_components(rows, 5, 80, 100)
+    assert len(opened) == 4 and all(n <= m - groups for (m, _), (n, groups) in zip(opened, opened[1:]))
+
+
 def test_wide_sketches_tell_long_sets_apart():
     rng = np.random.default_rng(7)
     for n in (1100, 5000, 20000):
