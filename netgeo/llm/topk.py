@@ -13,6 +13,8 @@ First each query block meets one candidate block; the k-th scores found there
 are the floor from which it meets all others, and only what reaches it comes
 back, k rows a query and block at most.  Every (query block, candidate block)
 pair is a task of its own, whatever the vectors; equal vectors end in one leaf.
+A pair is made where it is met, from the two written tables of blocks (a
+Cartesian product): no table of pairs is shuffled, or sent through the driver.
 
 Integers up to 2^53 / dimension in absolute value keep scores exact.
 
@@ -34,9 +36,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from netgeo.llm.common import saved
+from netgeo.session import materialize
 
 QUERY_ROWS = 1024
 CANDIDATE_ROWS = 4096
+#: Most partitions of the tables of query and candidate blocks; each pair of them is a task.
+QUERY_PARTS, CANDIDATE_PARTS = 256, 1024
 LEAF = 256
 FAN_OUT = 16
 
@@ -178,19 +183,18 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 5, key: str = "vec_id",
         F.col(key).cast("bigint").alias("id"), parts.alias("vector"), F.size(vector).alias("dim"), F.coalesce(is_query, F.lit(False)).alias("is_query"))
     q, q_blocks = _blocked(rows.where("is_query").drop("is_query"), query_rows)
     c, c_blocks = _blocked(rows.drop("is_query"), candidate_rows)
-    q, c = saved(q.withColumnRenamed("data", "q"), "queries"), saved(c.withColumnRenamed("data", "c"), "candidates")
+    q_parts, c_parts = (max(1, min(sum(n.values()), most)) for n, most in ((q_blocks, QUERY_PARTS), (c_blocks, CANDIDATE_PARTS)))
+    q, c = saved(q.withColumnRenamed("data", "q"), "queries"), materialize(c.select("dim", F.col("block").alias("other"), F.col("data").alias("c")).repartition(c_parts))
     both = F.create_map(*(F.lit(x) for d in (c_blocks or {0: 1}) for x in (d, F.array(F.lit(q_blocks.get(d, 0)), F.lit(c_blocks.get(d, 1))))))[F.col("dim")]
     # each query block with its first candidate block, then with the others
-    met = q.withColumn("other", F.pmod(F.col("block"), both[1]))
+    at_home = F.pmod(F.col("block"), both[1])
     none = F.array().cast("array<struct<query_id:bigint,floor:double>>")
-    home = met.join(c.withColumnRenamed("block", "other"), ["dim", "other"]).withColumn("floors", none)
+    home = q.withColumn("other", at_home).join(c.where(F.col("other") < both[0]).hint("merge"), ["dim", "other"]).withColumn("floors", none)
     first = saved(_met(home.repartition("dim", "block", "other"), k), "first")
     floors = (first.groupBy("dim", "block", "query_id").agg(F.min("score").alias("floor"), F.count("*").alias("n")).where(F.col("n") >= k)
               .groupBy("dim", "block").agg(F.collect_list(F.struct("query_id", "floor")).alias("floors")))  # query_rows or so in a block
-    all_q = q.join(floors, ["dim", "block"], "left").withColumn("other", F.explode(F.sequence(F.lit(0), both[1] - 1)))
-    all_c = c.withColumnRenamed("block", "other").where(both[0] > 0).withColumn("block", F.explode(F.sequence(F.lit(0), both[0] - 1)))
-    pairs = all_q.where(F.col("other") != F.pmod(F.col("block"), both[1]))
-    rest = _met(pairs.join(all_c, ["dim", "block", "other"]), k)
+    all_q = materialize(q.join(floors, ["dim", "block"], "left").withColumn("home", at_home).withColumnRenamed("dim", "q_dim").repartition(q_parts))
+    rest = _met(all_q.join(c.hint("shuffle_replicate_nl"), (F.col("q_dim") == F.col("dim")) & (F.col("home") != F.col("other"))), k)
     ranked = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     found = first.unionByName(rest).select("query_id", "id", "score").withColumn("rank", F.row_number().over(ranked)).where(F.col("rank") <= k)
     return found.select("query_id", F.col("rank").cast("int").alias("rank"), F.col("id").alias(key), F.col("score").cast("bigint").alias("score"))
